@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the byte-level vocabulary."""
+    out = tokens.token_counts(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+    return out.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document's pieces in sequences of at most 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", room=2048, end_id=0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash class of every document."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -19,6 +35,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
