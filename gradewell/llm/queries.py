@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, licenses, packing, quality, repetition, simhash, tokens, toxicity
+from . import ann, html, licenses, packing, quality, repetition, sentencepieces, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,15 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), licenses.TEMPLATES, least=0.8)
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document's segmentation with merge-dropout, and whether it decodes to the text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    ids = sentencepieces.encode(docs, "piece_bpe_32k.model", dropout=0.1, seed=1, keep=("n_bytes", "text_hash"))
+    ids = ids.withColumn("n_pieces", F.size("ids").cast("long")).withColumn("ids_hash", F.xxhash64("ids"))
+    back = sentencepieces.decode(ids, "piece_bpe_32k.model")
+    return back.select("doc_id", "n_bytes", "n_pieces", "ids_hash", (F.xxhash64("text") == F.col("text_hash")).alias("lossless"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict on repetition of every document."""
     out = repetition.quality_rules(_table(spark, sf_dir, "documents"))
@@ -68,6 +77,7 @@ QUERIES = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
+    "op6_merge_dropout": op6_merge_dropout,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_classifier": op9_quality_classifier,
