@@ -192,8 +192,8 @@ def _spell(model: Pieces, sym: np.ndarray, codes: np.ndarray, owner: np.ndarray,
     return out, np.bincount(owner, weights=width, minlength=words).astype(np.int64)
 
 
-def encode_texts(model: Pieces, texts: list[str], salts: np.ndarray, dropout: float, variants: int) -> list[np.ndarray]:
-    """Ids of each text.  ``salts``: a number for each text; a word's key is one of ``variants`` by that and its place."""
+def encode_texts(model: Pieces, texts: list[str], salts: np.ndarray, dropout: float, variants: int, seed: int = 0) -> list[np.ndarray]:
+    """Ids of each text.  ``salts``: a number for each text; a word's key is one of ``variants`` by that and its place, and the seed's."""
     number: dict[str, int] = {}
     units = [model.units.findall(" " + t) if t else [] for t in texts]
     sizes = np.array([len(u) for u in units], dtype=np.int64)
@@ -213,6 +213,7 @@ def encode_texts(model: Pieces, texts: list[str], salts: np.ndarray, dropout: fl
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(codes)) - np.repeat(first, lengths)
     keys = np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * _power(place), first)
+    keys ^= np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1)
     keys = (keys ^ ((pair % variants).astype(np.uint64) + np.uint64(1)) * _MIX) * _MUL
     sym = model.char_id[codes]
     long = lengths > LONG
@@ -261,7 +262,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float =
                 size += len(t)
                 if size > GROUP_CHARS or i == len(texts) - 1:
                     salts = np.array([xxhash.xxh64_intdigest(g, seed=seed & (1 << 64) - 1) for g in group], dtype=np.uint64)
-                    out += encode_texts(vocabulary, group, salts, dropout, variants)
+                    out += encode_texts(vocabulary, group, salts, dropout, variants, seed)
                     group, size = [], 0
             ends = np.cumsum([0, *(len(x) for x in out)])
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((np.concatenate(out) if out else np.zeros(0)).astype(np.int32)))
