@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .toxicity import held_out
 
@@ -142,6 +143,18 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, lab
     return model
 
 
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
+    """The rows of ``docs`` with all their columns and the score of each."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+            yield batch.append_column(name, pa.array(model.scores(texts)))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, score)`` of each row's whole text, 0 to 1; null texts score as empty ones."""
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 20
 LENGTHS = (3, 4, 5, 6)
@@ -199,20 +200,37 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, lab
     return fit_nnpu(rows(pos), rows(unl), toxic / n if n else 0.0)
 
 
+def text_scores(model: Model, texts: list[str]) -> np.ndarray:
+    """Scores of texts, about 4 million characters at a time."""
+    out = np.zeros(len(texts))
+    size, first = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > 1 << 22 or i == len(texts) - 1:
+            out[first : i + 1] = model.scores(texts[first : i + 1])
+            first, size = i + 1, 0
+    return out
+
+
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
+    """The rows of ``docs`` with all their columns and the score of each."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            yield batch.append_column(name, pa.array(text_scores(model, texts)))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, score)`` of each row's whole text, 0 to 1; null texts score as empty ones."""
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            out = np.zeros(len(texts))
-            size, first = 0, 0
-            for i, t in enumerate(texts):  # about 4 million characters at a time
-                size += len(t)
-                if size > 1 << 22 or i == len(texts) - 1:
-                    out[first : i + 1] = model.scores(texts[first : i + 1])
-                    first, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_scores(model, texts))], names=[id_col, "score"])
 
     slim = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, score double")
