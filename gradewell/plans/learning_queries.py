@@ -1,0 +1,77 @@
+"""Queries that learn: nodes, out-of-fold scores, calibrators, intervals.  Rows only: fits are beyond SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import half_even
+from ..operators import decide, learning, tables
+from .registry import query
+from .scored import FEATURES, judged
+
+NAMES = {"p_band": ["f_upper", "f_symbol", "f_line"], "p_wrap": ["f_symbol", "f_size", "f_space"], "p_left": ["f_space", "f_upper"]}
+
+
+@query()
+def fit_nodes(spark, sf_dir):
+    """Coefficient tables of the three nodes."""
+    nodes = learning.fit_nodes(judged(spark, sf_dir), NAMES)
+    out = None
+    for k, m in nodes.items():
+        t = m.table(spark).withColumn("node", F.lit(k))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query()
+def oof_scores(spark, sf_dir):
+    """Each labelled document decided by nodes that never saw its source."""
+    rows = tables.hash_folds(judged(spark, sf_dir).drop(*NAMES, "said", "conf", "ok"), "source", 3)
+    scored = learning.out_of_fold(rows, "fold", 3, lambda d: learning.fit_nodes(d, NAMES), learning.score_nodes)
+    chain = decide.chained("p_band", "p_wrap", "p_left")
+    out = scored.withColumn("said", chain["label"]).withColumn("conf", chain["conf"])
+    return out.select("doc_id", "fold", "truth", "said", half_even("conf").alias("conf"))
+
+
+@query()
+def isotonic_calibration(spark, sf_dir):
+    """Confidence through the non-decreasing calibrator."""
+    j = judged(spark, sf_dir)
+    return j.select("doc_id", "conf", half_even(learning.interpolated("conf", learning.isotonic(j, "conf", "ok"))).alias("calibrated"))
+
+
+@query()
+def platt_calibration(spark, sf_dir):
+    """Confidence through the logistic calibrator."""
+    from ..functions.scalars import logit
+
+    j = judged(spark, sf_dir)
+    m = learning.platt(j, "conf", "ok")
+    return j.withColumn("_logit", logit("conf")).select("doc_id", "conf", half_even(m.probability()).alias("calibrated"))
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    """95 % intervals of accuracy, of accuracy above a floor, and of their paired difference."""
+    j = judged(spark, sf_dir).withColumn("hit", F.col("ok").cast("double")).withColumn("sure_hit", ((F.col("conf") >= 0.6) & F.col("ok")).cast("double")).withColumn("sure", (F.col("conf") >= 0.6).cast("double"))
+    s = learning.bootstrap(j, ["hit", "sure_hit", "sure"], "doc_id", samples=500, seed=7)
+    above = F.try_divide(F.col("sure_hit"), F.col("sure"))
+    out = None
+    for name, value in (("accuracy", F.col("hit")), ("accuracy_sure", above), ("difference", above - F.col("hit"))):
+        row = learning.interval(s, value).select(F.lit(name).alias("figure"), *[half_even(c).alias(c) for c in ("low", "mean", "high")])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def family_choice(spark, sf_dir):
+    """Two families of columns examined out of fold, and the one that the rule takes."""
+    rows = tables.hash_folds(judged(spark, sf_dir).withColumn("good", (F.col("truth") != "band").cast("int")), "source", 2)
+    figures = {}
+    for name, columns in (("shape", ["f_size", "f_space", "f_line"]), ("all", list(FEATURES))):
+        oof = learning.out_of_fold(rows, "fold", 2, lambda d, c=columns: learning.fit_logistic(d, c, "good"), lambda d, m: d.withColumn("p", m.probability()))
+        hit = ((F.col("p") > 0.5).cast("int") == F.col("good")).cast("double")
+        row = oof.agg(F.avg(hit), F.abs(F.avg(F.greatest("p", 1 - F.col("p"))) - F.avg(hit))).first()
+        figures[name] = (100 * row[0], row[1])
+    chosen = learning.choose_family(figures)
+    return spark.createDataFrame([(k, round(a, 4), round(e, 6), k == chosen) for k, (a, e) in figures.items()], "family string, accuracy double, ece double, chosen boolean")
