@@ -42,8 +42,8 @@ def quotient(verified, raw) -> Column:
 
 def logit(p) -> Column:
     """ln(p / (1 - p)) with p held within eps of 0 and 1."""
-    p = F.least(F.greatest(_col(p), F.lit(EPS)), F.lit(1 - EPS))
-    return F.ln(p / (1 - p))
+    held = F.least(F.greatest(_col(p), F.lit(EPS)), F.lit(1 - EPS))
+    return F.when(_col(p).isNotNull(), F.ln(held / (1 - held)))
 
 
 def sigmoid(z) -> Column:
@@ -58,9 +58,9 @@ def renormalise(probabilities, fallback=None) -> Column:
 
 
 def lerp(x, x0: float, y0: float, x1: float, y1: float) -> Column:
-    """Linear between two points, constant outside."""
+    """Linear between two points, constant outside; null for an unknown x."""
     u = F.least(F.greatest((_col(x) - x0) / (x1 - x0), F.lit(0.0)), F.lit(1.0))
-    return y0 + u * (y1 - y0)
+    return F.when(_col(x).isNotNull(), y0 + u * (y1 - y0))
 
 
 def fold_axis(degrees) -> Column:
