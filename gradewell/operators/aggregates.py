@@ -11,8 +11,9 @@ def median(c: str) -> Column:
     return F.percentile(F.col(c).cast("double"), 0.5)
 
 
-def percentiles(c: str, *shares: float) -> list[Column]:
-    return [F.percentile(F.col(c).cast("double"), q).alias(f"p{round(100 * q)}") for q in shares]
+def percentiles(c: str, *shares: float) -> Column:
+    """Exact percentiles as one array: one aggregate holds the values for all of them."""
+    return F.percentile(F.col(c).cast("double"), list(shares))
 
 
 def largest(value: str, columns: list[str], *ties: Column) -> Column:
@@ -90,7 +91,7 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     per = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("q"))
     from .ordered import running
 
-    ranked = running(per, "s", ["q"], ascending=True)
+    ranked = running(per, "s", ["q"], ties=("p",), ascending=True)
     total = ranked.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("run_q") - F.col("q") / 2)).alias("wins"))
     return total.select("n_pos", "n_neg", F.try_divide(F.col("wins"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
 

@@ -33,9 +33,9 @@ def bin_table(df: DataFrame, conf: str, ok: str, edges: tuple[float, ...] = BINS
     ``frac`` is the share of all rows; the last upper edge is given as 1 at most.
     """
     per = df.withColumn("bin", bin_of(conf, edges)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(conf).alias("said"), F.avg(F.col(ok).cast("double")).alias("accuracy"))
-    total = per.agg(F.sum("n").alias("_all"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over a few bins
     lo, hi = (F.element_at(F.array(*[F.lit(float(e)) for e in x]), F.col("bin") + 1) for x in (edges[:-1], [min(e, 1.0) for e in edges[1:]]))
-    out = per.crossJoin(F.broadcast(total)).where(F.col("bin").isNotNull() & (F.col("n") >= least))
+    out = per.withColumn("_all", total).where(F.col("bin").isNotNull() & (F.col("n") >= least))
     return out.select(F.col("bin").cast("long").alias("bin"), lo.alias("lo"), hi.alias("hi"), "n", (F.col("n") / F.col("_all")).alias("frac"), "said", "accuracy")
 
 
@@ -56,6 +56,7 @@ def ece_quantile(df: DataFrame, conf: str, ok: str, bins: int = 10) -> DataFrame
 
     Equal edges make empty bins, which don't count.
     """
+    df = df.select(conf, ok).persist()
     edges = df.agg(F.percentile(F.col(conf), [k / bins for k in range(1, bins)]).alias("_e"))
     place = F.size(F.filter("_e", lambda e: e <= F.col(conf)))
     per = df.crossJoin(F.broadcast(edges)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.avg(conf).alias("said"), F.avg(F.col(ok).cast("double")).alias("acc"))
@@ -71,7 +72,7 @@ def _sampled(ranked: DataFrame, total: str, points: int, least: int) -> Column:
 
 def cumulative_curve(df: DataFrame, conf: str, ok: str, position: str, points: int = POINTS, least: int = MIN_CURVE) -> DataFrame:
     """(conf, accuracy, coverage): of the rows at least as confident, how many are right and how many they are."""
-    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=False)
+    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=False, bounds=(0.0, 1.0))
     chosen = ranked.where(_sampled(ranked, "total", points, least))
     return chosen.select(F.col(conf).alias("conf"), (F.col("run__ok") / F.col("rank")).alias("accuracy"), (F.col("rank") / F.col("total")).alias("coverage"))
 
@@ -82,7 +83,7 @@ def class_curves(df: DataFrame, label: str, conf: str, ok: str, position: str, s
     A class is ordered in 256 confidence ranges, so that the window of a large class is many tasks' work.
     """
     low = F.floor(F.col(conf) * 255).cast("int")
-    rows = df.withColumn("_b", -low).withColumn("_ok", F.col(ok).cast("long"))
+    rows = df.select(label, conf, position, (-low).alias("_b"), F.col(ok).cast("long").alias("_ok")).persist()
     totals = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_ok").alias("_s"))
     before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     start = totals.select(label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.sum("_n").over(Window.partitionBy(label)).alias("total"))
@@ -131,7 +132,8 @@ def set_cut_lookup(df: DataFrame, measured: DataFrame, conf: str, inside_conf: s
     The measured rows are taken per distinct confidence, with running counts; a row of ``df`` finds its
     place by an ordered union with them in confidence ranges, never by comparing all pairs.
     """
-    ranked = running(measured.withColumn("_ok", F.col(ok).cast("long")), inside_conf, ["_ok"], ties=(position,), ascending=False)
+    ranked = running(measured.withColumn("_ok", F.col(ok).cast("long")), inside_conf, ["_ok"], ties=(position,), ascending=False, bounds=(0.0, 1.0))
+    ranked = ranked.persist()
     total = ranked.agg(F.max("rank").alias("_n"))
     floor_row = ranked.crossJoin(F.broadcast(total)).where(F.col("rank") == F.least(F.lit(least).cast("long"), F.col("_n"))).select((F.col("run__ok") / F.col("rank")).alias("_acc0"), F.col("rank").alias("_r0"))
     steps = ranked.groupBy(F.col(inside_conf).alias("_c")).agg(F.max("rank").alias("_r"), F.max_by("run__ok", "rank").alias("_s"))
@@ -164,7 +166,7 @@ def reject_sweep(df: DataFrame, conf: str, ok: str, position: str, fractions: tu
 
     Among equal confidences, the earlier position is kept.
     """
-    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=False)
+    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=False, bounds=(0.0, 1.0))
     f = F.explode(F.array(*[F.lit(float(x)) for x in fractions]))
     kept = F.greatest(F.lit(1).cast("long"), F.bround(F.col("total") * (1 - F.col("fraction")), 0).cast("long"))
     total = ranked.agg(F.max("total").alias("total")).where("total > 0").select("total", f.alias("fraction")).withColumn("kept", kept)
@@ -176,7 +178,7 @@ def reject_sweep_ascending(df: DataFrame, conf: str, ok: str, position: str, rat
 
     ``error`` of what is left is null if nothing is; ``floor`` is the confidence at the cut, else 1.
     """
-    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=True)
+    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=True, bounds=(0.0, 1.0))
     totals = ranked.agg(F.max("total").alias("n"), F.max_by("run__ok", "rank").alias("hits")).where("n > 0")
     cut = totals.select("n", "hits", F.explode(F.array(*[F.lit(int(r)).cast("long") for r in rates])).alias("rate")).withColumn("dropped", F.bround(F.col("n") * F.col("rate") / 100, 0).cast("long"))
     step = ranked.select("rank", F.col("run__ok").alias("below"), F.col(conf).alias("c"), F.col("_ok").alias("one"))

@@ -18,6 +18,7 @@ def impute_scale(df: DataFrame, names: list[str]) -> DataFrame:
 
     Medians are exact; both statistics are one row each and are broadcast.  A constant column gives 0.
     """
+    df = df.persist()  # medians, moments and rows all read it
     med = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"_m_{c}") for c in names])
     full = df.crossJoin(F.broadcast(med)).withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in names})
     stats = full.agg(*[x for c in names for x in (F.avg(f"_f_{c}").alias(f"_a_{c}"), F.stddev_pop(f"_f_{c}").alias(f"_d_{c}"))])

@@ -13,17 +13,26 @@ from pyspark.sql import functions as F
 RANGES = 1024
 
 
-def running(df: DataFrame, order: str, sums: list[str], ties: tuple[str, ...] = (), ascending: bool = True, ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, order: str, sums: list[str], ties: tuple[str, ...] = (), ascending: bool = True, ranges: int = RANGES, bounds: tuple[float, float] | None = None) -> DataFrame:
     """``df`` with ``rank`` (long, from 1), ``total`` (rows) and ``run_<c>`` for each column to sum.
 
     The order is by ``order``, then ``ties`` ascending; rows that are equal in all of them have no
-    defined order among each other.  Rows of a null order value are left out.
+    defined order among each other.  Rows of a null order value are left out.  Columns beside those
+    named here are not carried along.  ``bounds``: known limits of the order values, which save a pass.
+
+    The few columns are persisted (memory, then disk), since totals and rows both read them; a lost
+    part is computed again from its lineage.
     """
-    rows = df.where(F.col(order).isNotNull())
-    span = rows.agg(F.min(F.col(order).cast("double")).alias("_lo"), F.max(F.col(order).cast("double")).alias("_hi"))
-    place = F.floor((F.col(order).cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * (ranges - 1))
-    place = F.coalesce(place, F.lit(0)).cast("int")
-    dealt = rows.crossJoin(F.broadcast(span)).withColumn("_b", place if ascending else -place).drop("_lo", "_hi")  # span: one row
+    rows = df.where(F.col(order).isNotNull()).select(*dict.fromkeys([order, *ties, *sums])).persist()
+    value = F.col(order).cast("double")
+    if bounds:
+        place = F.greatest(F.least(F.floor((value - bounds[0]) / (bounds[1] - bounds[0]) * (ranges - 1)), F.lit(ranges - 1)), F.lit(0)).cast("int")
+        dealt = rows.withColumn("_b", place if ascending else -place)
+    else:
+        span = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        place = F.floor((value - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * (ranges - 1))
+        place = F.coalesce(place, F.lit(0)).cast("int")
+        dealt = rows.crossJoin(F.broadcast(span)).withColumn("_b", place if ascending else -place).drop("_lo", "_hi")  # span: one row
     totals = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
     # at most ``ranges`` rows from here: one small window over the range totals
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -59,9 +59,9 @@ SELECT l_returnflag, """ + ", ".join(f"round_even(quantile_cont(l_extendedprice,
 FROM lineitem GROUP BY 1""")
 def percentile_report(spark, sf_dir):
     """Interpolated percentiles and the usual moments (population deviation)."""
-    cols = aggregates.percentiles("l_extendedprice", 0.05, 0.25, 0.5, 0.75, 0.95)
-    out = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*cols, F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.avg("l_quantity").alias("mean"), F.stddev_pop("l_quantity").alias("sd"))
-    out = out.withColumn("cv", F.col("sd") / F.col("mean"))
+    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
+    out = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(aggregates.percentiles("l_extendedprice", *shares).alias("_p"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.avg("l_quantity").alias("mean"), F.stddev_pop("l_quantity").alias("sd"))
+    out = out.withColumns({"cv": F.col("sd") / F.col("mean")} | {f"p{round(100 * q)}": F.get("_p", k) for k, q in enumerate(shares)})
     return out.select("l_returnflag", "low", "high", *[half_even(c).alias(c) for c in ("p5", "p25", "p50", "p75", "p95", "mean", "sd", "cv")])
 
 

@@ -26,8 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["flagship_report"](spark, sf_dir)
-
-
 from . import aggregate_queries, curve_queries, decision_queries, learning_queries, raster_queries, stream_queries, table_queries  # noqa: E402, F401

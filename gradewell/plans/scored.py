@@ -27,11 +27,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n, features...) of every document: one pass, no shuffle."""
     t = F.coalesce(F.col("text"), F.lit(""))
     n = F.char_length(t)
-    less = lambda pattern: (n - F.char_length(F.regexp_replace(t, pattern, ""))) / (n + 1e-6)
+    share = lambda count: count / (n + 1e-6)
+    without = lambda c: n - F.char_length(F.replace(t, F.lit(c), F.lit("")))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(
         "doc_id", "lang", "source", n.cast("long").alias("n"),
-        less("[A-Z]").alias("f_upper"), less(r"[#*$%&|!]").alias("f_symbol"), less(" ").alias("f_space"), less("\n").alias("f_line"), (F.ln(1.0 + n) / 10).alias("f_size"),
+        share(F.regexp_count(t, F.lit("[A-Z]"))).alias("f_upper"), share(F.regexp_count(t, F.lit("[#*$%&|!]"))).alias("f_symbol"), share(without(" ")).alias("f_space"), share(without("\n")).alias("f_line"), (F.ln(1.0 + n) / 10).alias("f_size"),
     )
 
 
