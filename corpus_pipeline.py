@@ -16,14 +16,17 @@ from gradewell.llm import packing, quality, simhash, toxicity
 from gradewell.llm.common import cut, shared_dir
 
 
+ROW, SCORE = "__pipeline_row", "__pipeline_score"  # working columns, off any name that documents may have
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def _keep(docs: DataFrame, scored: DataFrame, model, threshold: float, above: bool) -> DataFrame:
     """Rows of ``docs`` on the wanted side of the threshold, scored by the model where they lie (no join)."""
-    good = F.col("_score") >= threshold if above else F.col("_score") < threshold
-    return scored(docs, model).where(good).drop("_score")
+    good = F.col(SCORE) >= threshold if above else F.col(SCORE) < threshold
+    return scored(docs, model, name=SCORE).where(good).drop(SCORE)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +43,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash class (of repeated ids, one row; null ids last)."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())  # docs is a written table: the same at each reading
-    classes = cut(simhash.near_duplicates(numbered, "_row").join(numbered.select("_row", "doc_id"), "_row"))
-    first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("m"))
-    kept = cut(first.select(F.col("m._row").alias("_row")))
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())  # docs is a written table: the same at each reading
+    classes = cut(simhash.near_duplicates(numbered, ROW).join(numbered.select(ROW, "doc_id"), ROW))
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("m"))
+    kept = cut(first.select(F.col(f"m.{ROW}").alias(ROW)))
+    return numbered.join(kept, ROW, "left_semi").drop(ROW)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

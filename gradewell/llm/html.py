@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|type)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|type|style)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
@@ -66,6 +67,9 @@ def _junk(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             if tag not in ("html", "body"):
                 return True, True
+        elif name == "style":
+            if _GONE.search(value) and tag not in ("html", "body"):
+                return True, True
         elif name != "type":
             words.update(_WORD.findall(_CAMEL.sub(" ", value).lower()))
     if tag in ("html", "body", "main"):

@@ -19,6 +19,7 @@ CASES = [
     ("<p>1 < 2 and <b>bold</b>er</p><script>var t='</p><p>no';</script><style>p{}</style>", "1 < 2 and bolder"),
     ('<p title="a > b">t</p><!-- <p>no</p> --><p>u', "t\nu"),
     ('<form><p>no</p></form><div role="navigation">no</div><div hidden>no</div><div class="cookie-notice">no</div><p>yes</p>', "yes"),
+    ('<p data-hidden="no" data-class="ad">seen</p><p style="color:red; display: none">no</p><input type="hidden" value="x"><p>also', "seen\nalso"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
     ("</p></div><p>x</b>y</p>", "xy"),
     ('<a href="x', '<a href="x'),
