@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def median(c: str) -> Column:
-    """Exact, interpolated."""
+    """Exact, interpolated; for groups whose distinct values fit one buffer (else ``exact_percentiles``)."""
     return F.percentile(F.col(c).cast("double"), 0.5)
 
 
-def percentiles(c: str, *shares: float) -> Column:
-    """Exact percentiles as one array: one aggregate holds the values for all of them."""
-    return F.percentile(F.col(c).cast("double"), list(shares))
+def exact_percentiles(df: DataFrame, groups: list[str], value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(groups, n, q): exact interpolated percentiles per group, for groups of any size.
+
+    The built-in exact percentile holds all distinct values of a group in one buffer.  Here a sketch of
+    bounded size brackets each percentile between two values; one pass counts what lies below the
+    bracket, and only the few values inside it are ordered.  The sketch's rank error is at most
+    n / accuracy, and the bracket is twice that wide on either side, so the wanted ranks are in it.
+    Null values don't count; a group without values has none of its own rows here.
+    """
+    rows = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()).persist()
+    room = 2 / accuracy
+    ends = [x for q in shares for x in (max(0.0, q - room), min(1.0, q + room))]
+    sketch = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_e"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    small = F.col("_n") <= 4 * accuracy  # a bounded group is ordered whole
+    low = [F.when(small | F.lit(q - room <= 0), F.col("_lo")).otherwise(F.get("_e", F.lit(2 * k))) for k, q in enumerate(shares)]
+    high = [F.when(small | F.lit(q + room >= 1), F.col("_hi")).otherwise(F.get("_e", F.lit(2 * k + 1))) for k, q in enumerate(shares)]
+    sketch = sketch.select(*groups, "_n", F.array(*low).alias("_a"), F.array(*high).alias("_b"))
+    if groups:
+        named = sketch.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_n", "_a", "_b")
+        same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
+        both = rows.join(named, same)
+    else:
+        both = rows.crossJoin(F.broadcast(sketch))  # one row
+    marks = F.array(*[F.when(F.col("_v") < F.get("_a", F.lit(k)), -1).when(F.col("_v") <= F.get("_b", F.lit(k)), F.lit(k + 1)).otherwise(0) for k in range(len(shares))])
+    # per share: how many are below (-1), and the counts of the values inside
+    each = both.select(*groups, "_n", "_v", F.posexplode(marks).alias("_k", "_m")).where("_m <> 0")
+    counts = each.groupBy(*groups, "_k", "_n", F.when(F.col("_m") > 0, F.col("_v")).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*groups, "_k").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.withColumn("_cum", F.sum("_c").over(w))
+    place = F.element_at(F.array(*[F.lit(float(q)) for q in shares]), F.col("_k") + 1) * (F.col("_n") - 1)
+    cum = cum.withColumn("_h", place).withColumn("_r", F.floor("_h"))
+    last = F.least(F.col("_r") + 2, F.col("_n"))
+    found = cum.groupBy(*groups, "_k", "_n", "_h", "_r").agg(F.min(F.when((F.col("_cum") >= F.col("_r") + 1) & F.col("_x").isNotNull(), F.col("_x"))).alias("_x0"), F.min(F.when((F.col("_cum") >= last) & F.col("_x").isNotNull(), F.col("_x"))).alias("_x1"))
+    value_at = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * (F.col("_h") - F.col("_r"))
+    per = found.groupBy(*groups, F.col("_n").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value_at.alias("x")))), lambda e: e["x"]).alias("q"))
+    return per
 
 
 def largest(value: str, columns: list[str], *ties: Column) -> Column:
@@ -104,9 +137,9 @@ def fingerprint(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
 
 def robust_z(df: DataFrame, group: str, value: str) -> DataFrame:
     """``df`` with the group's median and 1.4826 MAD, and the robust z of each row (null where MAD is 0)."""
-    mid = df.groupBy(group).agg(median(value).alias("mid"))
+    mid = exact_percentiles(df, [group], value, [0.5]).select(group, F.get("q", F.lit(0)).alias("mid"))
     dev = df.join(mid, group).withColumn("dev", F.abs(F.col(value) - F.col("mid")))
-    mad = dev.groupBy(group).agg((1.4826 * median("dev")).alias("mad"))
+    mad = exact_percentiles(dev, [group], "dev", [0.5]).select(group, (1.4826 * F.get("q", F.lit(0))).alias("mad"))
     return dev.join(mad, group).withColumn("z", F.try_divide(F.col(value) - F.col("mid"), F.col("mad"))).drop("dev")
 
 

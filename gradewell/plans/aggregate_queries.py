@@ -50,7 +50,8 @@ def type_zone_pivot(spark, sf_dir):
 @query("SELECT c_mktsegment, count(*) AS n, round_even(quantile_cont(CAST(c_acctbal AS DOUBLE), 0.5), 6) AS mid FROM customer GROUP BY 1")
 def group_median(spark, sf_dir):
     """Exact median per group."""
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), half_even(aggregates.median("c_acctbal")).alias("mid"))
+    m = aggregates.exact_percentiles(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", [0.5])
+    return m.select("c_mktsegment", "n", half_even(F.get("q", F.lit(0))).alias("mid"))
 
 
 @query("""
@@ -59,9 +60,11 @@ SELECT l_returnflag, """ + ", ".join(f"round_even(quantile_cont(l_extendedprice,
 FROM lineitem GROUP BY 1""")
 def percentile_report(spark, sf_dir):
     """Interpolated percentiles and the usual moments (population deviation)."""
-    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
-    out = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(aggregates.percentiles("l_extendedprice", *shares).alias("_p"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.avg("l_quantity").alias("mean"), F.stddev_pop("l_quantity").alias("sd"))
-    out = out.withColumns({"cv": F.col("sd") / F.col("mean")} | {f"p{round(100 * q)}": F.get("_p", k) for k, q in enumerate(shares)})
+    shares = [0.05, 0.25, 0.5, 0.75, 0.95]
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+    places = aggregates.exact_percentiles(li, ["l_returnflag"], "l_extendedprice", shares).select("l_returnflag", *[F.get("q", F.lit(k)).alias(f"p{round(100 * q)}") for k, q in enumerate(shares)])
+    out = li.groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.avg("l_quantity").alias("mean"), F.stddev_pop("l_quantity").alias("sd"))
+    out = out.join(places, "l_returnflag").withColumn("cv", F.col("sd") / F.col("mean"))
     return out.select("l_returnflag", "low", "high", *[half_even(c).alias(c) for c in ("p5", "p25", "p50", "p75", "p95", "mean", "sd", "cv")])
 
 

@@ -113,6 +113,20 @@ def test_half_even_cuts(spark):
     assert down == {10: (0, 0.0), 30: (2, 0.0), 100: (5, None)}
 
 
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_exact_percentiles(spark, accuracy):
+    rng = np.random.default_rng(2)
+    groups = {"ties": rng.integers(0, 4, 700).astype(float), "wide": rng.lognormal(0, 3, 900), "one": np.array([5.0]), "two": np.array([1.0, 2.0]), None: np.arange(10.0)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("ties", None), ("empty", None)]
+    shares = [0.0, 0.05, 0.5, 0.731, 1.0]
+    got = {r.g: (r.n, r.q) for r in aggregates.exact_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", shares, accuracy).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g][0] == len(vs) and np.allclose(got[g][1], np.quantile(vs, shares), rtol=1e-12)
+    whole = aggregates.exact_percentiles(spark.createDataFrame(rows, "g string, v double"), [], "v", [0.5], accuracy).first()
+    assert math.isclose(whole.q[0], np.quantile(np.concatenate(list(groups.values())), 0.5))
+
+
 def test_agreement(spark):
     same = spark.createDataFrame([("a", "a", 1), ("a", "a", 1)], "t string, s string, ok int")
     assert aggregates.kappa(same, "t", "s").first().kappa == 0
