@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import aggregate_queries, curve_queries, decision_queries, learning_queries, raster_queries, stream_queries, table_queries  # noqa: E402, F401
+from . import aggregate_queries, curve_queries, decision_queries, learning_queries, more_queries, raster_queries, stream_queries, table_queries  # noqa: E402, F401
