@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import heapq
 import re
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from .common import tokenizer_path
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SPACE = "▁"
 LONG = 96  # characters from which a word has a heap of its own
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 2 << 20
 _MODELS: dict[str, Pieces] = {}
 
 
@@ -133,47 +134,52 @@ def merge_words(model: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.
 
     ``symbols`` are the character ids (-1: none) of consecutive words of ``sizes``.
     """
-    word = np.repeat(np.arange(len(sizes)), sizes)
-    start = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    end, sym = start + 1, symbols.copy()
+    word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    start = (np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    end, sym = start + np.int32(1), symbols.astype(np.int32)
     done = []
     # candidates are kept from round to round: only places beside a merge are looked up anew
-    rank = np.full(len(sym), np.iinfo(np.int64).max)
-    made = np.zeros(len(sym), dtype=np.int64)
-    fresh = np.arange(len(sym))
     none = np.iinfo(np.int64).max
+    rank = np.full(len(sym), none)
+    made = np.zeros(len(sym), dtype=np.int32)
+    new_made = model.made.astype(np.int32)
+    fresh = np.arange(len(sym))
     while len(sym):
         f = fresh[fresh + 1 < len(sym)]
         rank[fresh] = none
-        f = f[(word[f] == word[f + 1]) & (sym[f] >= 0) & (sym[f + 1] >= 0)]
-        pair = sym[f] * model.size + sym[f + 1]
+        left, right = sym[f], sym[f + 1]
+        some = (word[f] == word[f + 1]) & (left >= 0) & (right >= 0)
+        f = f[some]
+        pair = left[some].astype(np.int64) * model.size + right[some]
         at = np.minimum(np.searchsorted(model.keys, pair), len(model.keys) - 1)
         ok = model.keys[at] == pair
         f, at = f[ok], at[ok]
         keep = ~_skipped(keys[word[f]], start[f], start[f + 1], end[f + 1], dropout)
         f, at = f[keep], at[keep]
         rank[f] = model.rank[at] << 24 | start[f]  # best score first, then leftmost
-        made[f] = model.made[at]
-        head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        made[f] = new_made[at]
+        head = np.flatnonzero(np.diff(word, prepend=np.int32(-1)))
         best = np.minimum.reduceat(rank, head)
-        span = np.diff(np.r_[head, len(sym)])
-        over = np.repeat(best == none, span)
-        if over.any():
-            done.append((sym[over], start[over], word[over]))
-        win = np.flatnonzero((rank == np.repeat(best, span)) & ~over)
+        span = np.diff(head, append=len(sym))
+        win = np.flatnonzero((rank == np.repeat(best, span)) & (rank != none))
         sym[win], end[win] = made[win], end[win + 1]
-        stay = ~over
+        stay = np.ones(len(sym), dtype=bool)
         stay[win + 1] = False
-        number = np.cumsum(stay) - 1
-        new = number[win]
+        over = best == none
+        if over.any():
+            gone = np.repeat(over, span)
+            done.append((sym[gone], start[gone], word[gone]))
+            stay &= ~gone
+        number = np.cumsum(stay, dtype=np.int32)
+        new = number[win].astype(np.int64) - 1
         sym, start, end, word, rank, made = (x[stay] for x in (sym, start, end, word, rank, made))
         before = new[new > 0] - 1
         fresh = np.concatenate([new, before[word[before] == word[before + 1]]]) if len(sym) else new
     if not done:
         return (np.zeros(0, dtype=np.int64),) * 3
     sym, start, word = (np.concatenate(x) for x in zip(*done))
-    order = np.lexsort((start, word))
-    return sym[order], start[order], word[order]
+    order = np.argsort(word.astype(np.int64) << 24 | start, kind="stable")
+    return sym[order].astype(np.int64), start[order].astype(np.int64), word[order].astype(np.int64)
 
 
 def _spell(model: Pieces, sym: np.ndarray, codes: np.ndarray, owner: np.ndarray, words: int):
@@ -200,14 +206,14 @@ def encode_texts(model: Pieces, texts: list[str], salts: np.ndarray, dropout: fl
     n = int(sizes.sum())
     if not n:
         return [np.zeros(0, dtype=np.int64) for _ in texts]
-    unit = np.fromiter(map(number.setdefault, (u for x in units for u in x), count()), dtype=np.int64, count=n)
+    unit = np.fromiter(map(number.setdefault, chain.from_iterable(units), count()), dtype=np.int64, count=n)
     if dropout <= 0:
         variants = 1
     variant = (np.repeat(salts.astype(np.uint64), sizes) + (np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)) % np.uint64(variants)
     pair, inverse = np.unique(unit * variants + variant.astype(np.int64), return_inverse=True)
-    names: dict[int, str] = {i: u for u, i in number.items()}
-    words = [names[i] for i in (pair // variants).tolist()]
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    names = dict(zip(number.values(), number))
+    words = list(map(names.__getitem__, (pair // variants).tolist()))
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     # the key of a word: its characters and its variant
     first = np.cumsum(lengths) - lengths
@@ -255,18 +261,21 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float =
 
         vocabulary = pieces(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            out, group, size = [], [], 0
-            for i, t in enumerate(texts):
-                group.append(t)
-                size += len(t)
-                if size > GROUP_CHARS or i == len(texts) - 1:
-                    salts = np.array([xxhash.xxh64_intdigest(g, seed=seed & (1 << 64) - 1) for g in group], dtype=np.uint64)
-                    out += encode_texts(vocabulary, group, salts, dropout, variants, seed)
-                    group, size = [], 0
-            ends = np.cumsum([0, *(len(x) for x in out)])
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((np.concatenate(out) if out else np.zeros(0)).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[id_col, *keep, "ids"])
+            sizes = pa.compute.fill_null(pa.compute.utf8_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+            first, size = 0, 0
+            for i, n in enumerate(sizes.tolist()):
+                size += n
+                if size <= GROUP_CHARS and i < len(sizes) - 1:
+                    continue
+                part = batch.slice(first, i + 1 - first)
+                first, size = i + 1, 0
+                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                salts = np.array([xxhash.xxh64_intdigest(t, seed=seed & (1 << 64) - 1) for t in texts], dtype=np.uint64)
+                out = encode_texts(vocabulary, texts, salts, dropout, variants, seed)
+                ends = np.cumsum([0, *map(len, out)])
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(out).astype(np.int32)))
+                del out
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[id_col, *keep, "ids"])
 
     slim = docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
