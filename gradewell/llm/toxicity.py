@@ -123,18 +123,20 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps:
     prior = float(min(max(prior, 1e-4), 0.9))
     if not pos or not unl:
         return Model(np.zeros(0, np.int32), np.zeros(0), -8.0)
-    dp, du = (np.bincount(np.concatenate(x) if sum(map(len, x)) else np.zeros(0, np.int64), minlength=1 << BITS) for x in (pos, unl))
+    dp, du = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
+    for count, rows in ((dp, pos), (du, unl)):
+        for r in rows:  # a text has each feature once
+            count[r] += 1
     fp, fu = dp / len(pos), du / len(unl)
     error = np.sqrt((fu + 1 / len(unl)) / len(pos) + (fu + 1 / len(unl)) / len(unl))
     z = (fp - fu) / error
     good = np.flatnonzero((dp >= 3) & (fp > max(2.0, 0.35 / prior) * fu) & (z > 4))
     good = np.sort(good[np.argsort(-z[good], kind="stable")][:max_features])
-    column = np.full(1 << BITS, -1)
+    column = np.full(1 << BITS, -1, dtype=np.int32)
     column[good] = np.arange(len(good))
 
     def sparse(rows):
-        c = [column[r] for r in rows]
-        c = [x[x >= 0] for x in c]
+        c = [x[x >= 0] for x in map(column.__getitem__, rows)]
         return np.concatenate(c) if c else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), [len(x) for x in c])
 
     (cp, rp), (cu, ru) = sparse(pos), sparse(unl)
