@@ -98,6 +98,25 @@ def out_of_fold(df: DataFrame, fold: str, folds: int, fit: Callable[[DataFrame],
     return out
 
 
+def nested_calibration(df: DataFrame, fold: str, folds: int, fit: Callable[[DataFrame], object], score: Callable[[DataFrame, object], DataFrame], calibrate: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Every row scored and calibrated by what never saw it.
+
+    For each outer fold the other folds are scored out of fold among themselves, ``calibrate`` learns
+    from that, and the model of all of them scores the outer fold.
+    """
+    out = None
+    for k in range(folds):
+        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
+        inner = None
+        for j in range(folds):
+            if j != k:
+                part = score(train.where(F.col(fold) == j), fit(train.where(F.col(fold) != j)))
+                inner = part if inner is None else inner.unionByName(part)
+        part = calibrate(inner)(score(test, fit(train)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, most: int = 100_000) -> DataFrame:
     """(group, fold): groups dealt greedily, the most uneven first, each to the fold where classes stay most even.
 

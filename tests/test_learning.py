@@ -61,6 +61,27 @@ def test_out_of_fold_never_sees_its_fold(spark):
     assert out.groupBy("fold").agg(F.count_distinct("m").alias("k")).where("k <> 1").count() == 0
 
 
+def test_nested_calibration_is_clean(spark):
+    df = sample(spark, 90).withColumn("fold", F.col("id") % 3)
+    fits, calibrations = [], []
+
+    def folds_in(d):
+        return frozenset(r.fold for r in d.select("fold").distinct().collect())
+
+    def fit(train):
+        fits.append(folds_in(train))
+        return ",".join(map(str, sorted(fits[-1])))
+
+    def calibrate(inner):
+        calibrations.append(folds_in(inner))
+        return lambda d, seen=sorted(calibrations[-1]): d.withColumn("calibrated_by", F.lit(",".join(map(str, seen))))
+
+    out = learning.nested_calibration(df, "fold", 3, fit, lambda d, m: d.withColumn("scored_by", F.lit(m)), calibrate)
+    assert out.count() == 90 and calibrations == [{1, 2}, {0, 2}, {0, 1}]
+    for r in out.select("fold", "scored_by", "calibrated_by").distinct().collect():
+        assert str(r.fold) not in r.scored_by and str(r.fold) not in r.calibrated_by
+
+
 def test_calibrators(spark):
     rows = [(i / 200, int((i * 7919) % 200 < i)) for i in range(200)]
     df = spark.createDataFrame(rows, "conf double, ok int")
