@@ -141,7 +141,7 @@ def set_cut_lookup(df: DataFrame, measured: DataFrame, conf: str, inside_conf: s
     both = steps.select("_c", "_r", "_s").unionByName(probe.select("_c", F.lit(None).cast("long").alias("_r"), F.lit(None).cast("long").alias("_s")))
     both = both.groupBy("_c").agg(F.max("_r").alias("_r"), F.max("_s").alias("_s"))
     # per range of confidence the last step above it, then inside the range
-    both = both.withColumn("_b", -F.floor(F.col("_c") * 255).cast("int"))
+    both = both.withColumn("_b", -F.floor(F.col("_c") * 255).cast("int")).persist()  # range tops, frame and rows read it
     tops = both.where("_r IS NOT NULL").groupBy("_b").agg(F.max(F.struct("_r", "_s")).alias("_t"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     frame = both.select("_b").distinct().join(tops, "_b", "left")  # at most 256 rows
