@@ -151,12 +151,15 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_covered", "longest_repeat")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, max_covered: float = 0.5, max_longest: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, max_covered: float = 0.2, max_longest: int = 50) -> DataFrame:
     """``repetition`` with ``base_failed`` and ``kept``.
 
     Base: under 50 words, or over half of the words in three-word windows found twice or more.  A row
     that passes is kept if repeats cover at most ``max_covered`` of its words and the longest has at
-    most ``max_longest`` words.
+    most ``max_longest`` words.  A covered word is also one of a repeated three-word window, so only a
+    ``max_covered`` below the base's half decides anything.  A fifth: a tenth of the text in passages
+    of ``min_words`` said before (the usual limit on ten-word windows), and as much where they are
+    said first.  50 words: from there on, deduplication by suffix arrays takes a passage for a copy.
     """
     out = repetition(docs, id_col, text_col, min_words)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

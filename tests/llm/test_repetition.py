@@ -65,3 +65,19 @@ def test_repeats_decide(spark):
     assert got[6].longest_repeat == 59_999 and got[6].base_failed
     assert (got[4].n_words, got[5].n_words, got[None].n_dup_lines) == (0, 0, 1)
     assert repetition.quality_rules(docs).count() == len(rows) and repetition.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_coverage_alone_rejects(spark):
+    fresh = lambda n, k: " ".join(f"{k}x{i}" for i in range(n))
+    twice = lambda n, k: f"{fresh(n, k)} {fresh(5, k + 'y')} {fresh(n, k)}"
+    rows = [
+        (1, " ".join([*(twice(30, f"a{k}") for k in range(4)), fresh(340, "b")])),  # 240 of 600 words in passages of 30
+        (2, " ".join([twice(30, "c"), fresh(535, "d")])),  # 60 of 600
+        (3, " ".join([twice(51, "e"), fresh(893, "f")])),  # a passage of over 50 words, 102 of 1000
+        (4, " ".join([twice(50, "g"), fresh(895, "h")])),
+        (5, " ".join([twice(9, f"i{k}") for k in range(20)] + [fresh(440, "j")])),  # too short to count
+    ]
+    got = {r.doc_id: r for r in repetition.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].repeat_covered, got[1].longest_repeat) == (600, 240, 30)
+    assert [got[k].base_failed for k in range(1, 6)] == [False] * 5
+    assert [got[k].kept for k in range(1, 6)] == [False, True, False, True, True]
