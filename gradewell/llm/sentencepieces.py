@@ -1,9 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A merge-type model joins neighbouring pieces, always the best-scored candidate of the agenda first,
-the leftmost of equals.  Here a candidate is skipped if a keyed hash of the seed, its word and its
-place says so, which gives a varied but repeatable segmentation.  A skip depends on nothing else, so
-a skipped candidate is one that is never on the agenda, and any order of work gives the same pieces.
+the leftmost of equals.  Here a candidate is skipped if a keyed hash of the seed, the text, its word,
+the word's place in the text and its own in the word says so, which gives a varied but repeatable
+segmentation: each occurrence of a word has its own.  A skip depends on nothing else, so a skipped
+candidate is one that is never on the agenda, and any order of work gives the same pieces.
 
 ``merge_words`` settles the agendas of many words together in numpy: in each round every word makes
 its best merge.  ``merge_agenda`` does one word with a heap; it serves very long words.
@@ -26,7 +27,7 @@ from .common import tokenizer_path
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SPACE = "▁"
 LONG = 96  # characters from which a word has a heap of its own
-GROUP_CHARS = 2 << 20
+GROUP_CHARS = 3 << 19
 _MODELS: dict[str, Pieces] = {}
 
 
@@ -198,29 +199,34 @@ def _spell(model: Pieces, sym: np.ndarray, codes: np.ndarray, owner: np.ndarray,
     return out, np.bincount(owner, weights=width, minlength=words).astype(np.int64)
 
 
-def encode_texts(model: Pieces, texts: list[str], salts: np.ndarray, dropout: float, variants: int, seed: int = 0) -> list[np.ndarray]:
-    """Ids of each text.  ``salts``: a number for each text; a word's key is one of ``variants`` by that and its place, and the seed's."""
-    number: dict[str, int] = {}
+def encode_texts(model: Pieces, texts: list[str], salts: np.ndarray, dropout: float, seed: int = 0) -> list[np.ndarray]:
+    """Ids of each text.  ``salts``: a number for each text; the key of a word is by its characters, that, its place and the seed."""
     units = [model.units.findall(" " + t) if t else [] for t in texts]
     sizes = np.array([len(u) for u in units], dtype=np.int64)
     n = int(sizes.sum())
     if not n:
         return [np.zeros(0, dtype=np.int64) for _ in texts]
-    unit = np.fromiter(map(number.setdefault, chain.from_iterable(units), count()), dtype=np.int64, count=n)
-    if dropout <= 0:
-        variants = 1
-    variant = (np.repeat(salts.astype(np.uint64), sizes) + (np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)) % np.uint64(variants)
-    pair, inverse = np.unique(unit * variants + variant.astype(np.int64), return_inverse=True)
-    names = dict(zip(number.values(), number))
-    words = list(map(names.__getitem__, (pair // variants).tolist()))
+    if dropout <= 0:  # only then are the pieces of a word the same everywhere
+        number: dict[str, int] = {}
+        inverse = np.fromiter(map(number.setdefault, chain.from_iterable(units), count()), dtype=np.int64, count=n)
+        first, inverse = np.unique(inverse, return_inverse=True)
+        names = dict(zip(number.values(), number))
+        words = list(map(names.__getitem__, first.tolist()))
+    else:
+        words, inverse = list(chain.from_iterable(units)), None
+    del units
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    # the key of a word: its characters and its variant
     first = np.cumsum(lengths) - lengths
-    place = np.arange(len(codes)) - np.repeat(first, lengths)
-    keys = np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * _power(place), first)
-    keys ^= np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1)
-    keys = (keys ^ ((pair % variants).astype(np.uint64) + np.uint64(1)) * _MIX) * _MUL
+    keys = np.zeros(len(words), dtype=np.uint64)
+    if dropout > 0:
+        del words
+        place = np.arange(len(codes)) - np.repeat(first, lengths)
+        keys = np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * _power(place), first)
+        del place
+        keys ^= np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1)
+        spot = np.repeat(salts.astype(np.uint64), sizes) + (np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1).astype(np.uint64) * _MUL
+        keys = (keys ^ (spot ^ (spot >> np.uint64(31))) * _MIX) * _MUL
     sym = model.char_id[codes]
     long = lengths > LONG
     short = np.repeat(~long, lengths)
@@ -234,10 +240,10 @@ def encode_texts(model: Pieces, texts: list[str], salts: np.ndarray, dropout: fl
     if long.any():
         order = np.lexsort((start, word))
         got, start, word = got[order], start[order], word[order]
-    ids, per = _spell(model, got, codes[first[word] + start], word, len(words))
-    begin = np.cumsum(per) - per
-    size = per[inverse]
-    flat = ids[np.repeat(begin[inverse] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    flat, size = _spell(model, got, codes[first[word] + start], word, len(lengths))
+    if inverse is not None:
+        begin, size = (np.cumsum(size) - size)[inverse], size[inverse]
+        flat = flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
     ends = np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), sizes), weights=size, minlength=len(texts)).astype(np.int64))
     return np.split(flat, ends[:-1])
 
@@ -247,13 +253,13 @@ def _power(k: np.ndarray) -> np.ndarray:
     return table[k]
 
 
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id_col, *keep, ids)``: each row's whole text as an array of piece ids.
 
     Without dropout these are the ids of the library (a space mark in the text itself is spelt in
     bytes, though, so that it is not lost).  With it, each candidate merge of a word is skipped with
-    that probability by a hash keyed by ``seed``; a word has up to ``variants`` segmentations, chosen
-    by its text's hash and its place.  Null and empty texts have no ids.  Rows keep their count.
+    that probability by a hash keyed by ``seed``, the word, its text's hash and its place there: each
+    occurrence has skips of its own.  Null and empty texts have no ids.  Rows keep their count.
     """
 
     def run(batches):
@@ -271,7 +277,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float =
                 first, size = i + 1, 0
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 salts = np.array([xxhash.xxh64_intdigest(t, seed=seed & (1 << 64) - 1) for t in texts], dtype=np.uint64)
-                out = encode_texts(vocabulary, texts, salts, dropout, variants, seed)
+                out = encode_texts(vocabulary, texts, salts, dropout, seed)
                 ends = np.cumsum([0, *map(len, out)])
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(out).astype(np.int32)))
                 del out

@@ -68,3 +68,28 @@ def test_edges(spark):
     back = sentencepieces.decode(sentencepieces.encode(docs, dropout=0.3)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in back) == sorted((i is None, i or 0, t or "") for i, t, _ in rows)
     assert sentencepieces.encode(docs.limit(0)).count() == 0
+
+
+def test_occurrences_vary(spark):
+    word = " international"
+    texts = [word.strip() + word * (n - 1) for n in (20, 200, 2000)]
+    salts = np.array([5, 6, 7], dtype=np.uint64)
+
+    def kinds(ids):
+        """Segmentations of the word's occurrences."""
+        out, now, size = set(), [], 0
+        for i in ids:
+            now.append(int(i))
+            size += len(MODEL.bytes_of[i])
+            if size == len(word):
+                out.add(tuple(now))
+                now, size = [], 0
+        assert not now
+        return out
+
+    found = [len(kinds(x)) for x in sentencepieces.encode_texts(MODEL, texts, salts, 0.1, 1)]
+    assert 4 < found[0] < found[1] < found[2]
+    docs = spark.createDataFrame([(k, f"{k} {texts[1]}") for k in range(40)], "doc_id long, text string").coalesce(1)
+    one = [tuple(r.ids) for r in sentencepieces.encode(docs, dropout=0.1).collect()]
+    assert len({x[-60:] for x in one}) == 40  # the same words at the same places, in other texts
+    assert [len(kinds(x)) for x in sentencepieces.encode_texts(MODEL, texts, salts, 0.0, 1)] == [1, 1, 1]
