@@ -2,8 +2,9 @@
 
 ``parse`` walks a page once, with an element stack, and gives its text blocks with the elements
 around each, and a hash of each element's subtree (tag, texts, children).  ``extract`` counts those
-hashes per host over pages with different titles and deletes subtrees that recur on many of them;
-what is a menu, form, advert, notice, comment and the like by its tag, role, class or id goes as well.
+hashes per host, those of paragraphs, headings and parts that go by a rule too, over pages with
+different titles and deletes subtrees that recur on many of them; beside that, what is a menu,
+form, advert, notice, comment and the like by its tag, role, class or id goes.
 If a page has an article (else a main part), only what lies inside it is text.
 """
 
@@ -39,8 +40,6 @@ JUNK = COMMENTS | frozenset(
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 SCOPE = frozenset("table ul ol dl menu html body article main section div td th".split())
-# inside an article only such boxes can be a site's template: its paragraphs are its own
-BOXES = frozenset("div section ul ol figure table details".split())
 
 
 class Page:
@@ -96,13 +95,20 @@ def parse(html: str, hashing: bool = True) -> Page:
     found_article = found_main = False
     digest = xxhash.xxh64_intdigest
 
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
     def flush():
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
             if text:
                 junk = any(e[2] for e in stack)
-                blocks.append((text, tuple(e[1] for e in stack), articles > 0, mains > 0, junk))
+                around = tuple(e[1] for e in stack)
+                if hashing and stack and stack[-1][0] in WRAPS:  # no block of its own: the run of text is one
+                    around += (len(hashes),)
+                    hashes.append(signed(digest(f"#text\x00{text}")))
+                blocks.append((text, around, articles > 0, mains > 0, junk))
                 if hashing and stack:
                     stack[-1][4].append(text)
                     stack[-1][5] = True
@@ -125,9 +131,8 @@ def parse(html: str, hashing: bool = True) -> Page:
                 up[4].append(f"{tag}:{h}")
                 up[5] |= had
                 up[6] |= holds or tag in WRAPS
-            inside = articles > 0 or any(e[0] == "main" for e in stack)
-            if had and not holds and tag not in WRAPS and tag in BLOCK and (tag in BOXES or not inside) and not junk and not any(e[2] for e in stack):
-                hashes[index] = h - (1 << 64) if h >> 63 else h
+            if had and not holds and tag not in WRAPS and tag in BLOCK:
+                hashes[index] = signed(h)
 
     at, n = 0, len(html)
     while at < n:
@@ -209,9 +214,6 @@ def parse(html: str, hashing: bool = True) -> Page:
         page.blocks = [b for b in blocks if b[3] and not b[4]]
     else:
         page.blocks = [b for b in blocks if not b[4]]
-    if hashing:  # only elements around text that would stay matter
-        kept = {k for b in page.blocks for k in b[1]}
-        page.hashes = [h if k in kept else 0 for k, h in enumerate(hashes)]
     return page
 
 
@@ -231,54 +233,58 @@ def host_of(url: str | None) -> str:
 
 
 def template_hashes(pages: DataFrame, min_pages: int = 8, url_col: str = "url", html_col: str = "html", key: str = "_key"):
-    """Candidate subtrees ``(key, host, hash)`` and the recurring ``(host, hash)`` among them.
+    """Subtrees around text that would stay ``(key, host, kept)``, and the recurring ``(host, hash)``.
 
-    A subtree recurs if pages of its host with at least ``min_pages`` different titles hold it: many
-    copies of one page count as one.  Pages without a host or markup have no candidates.
+    A subtree recurs if pages of its host with at least ``min_pages`` different titles hold it, in
+    what would stay or not: many copies of one page count as one.  Pages without a host or markup
+    have no candidates.
     """
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
-            keys, hosts, hashes, titles = [], [], [], []
+            rows = []
             for k, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 host = host_of(url)
                 if not html or not host:
                     continue
                 page = parse(html)
-                import xxhash
-
                 title = xxhash.xxh64_intdigest(page.title or html) >> 1
-                for h in {h for h in page.hashes if h}:
-                    keys.append(k)
-                    hosts.append(host)
-                    hashes.append(h)
-                    titles.append(title)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(titles, pa.int64())], names=["key", "host", "hash", "title"])
+                kept = {page.hashes[i] for b in page.blocks for i in b[1]} - {0}
+                rows.append((k, host, title, list(set(page.hashes) - {0}), list(kept)))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "host", "title", "hashes", "kept"])
 
-    found = cut(pages.select(F.col(key), F.col(url_col), F.col(html_col)).mapInArrow(run, "key long, host string, hash long, title long"))
-    counts = found.select("host", "hash", "title").distinct().groupBy("host", "hash").count()
-    return found.select("key", "host", "hash"), cut(counts.where(F.col("count") >= min_pages).select("host", "hash"))
+    found = cut(pages.select(F.col(key), F.col(url_col), F.col(html_col)).mapInArrow(run, "key long, host string, title long, hashes array<long>, kept array<long>"))
+    counts = found.select("host", "title", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").count()
+    return found.select("key", "host", "kept"), cut(counts.where(F.col("count") >= min_pages).select("host", "hash"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 8) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 8, most: int = 20_000) -> DataFrame:
     """``(id_col, url_col, text)`` of each page: its main text, blocks joined by one line feed.
 
     Character references are decoded once, white space inside a block becomes one space, and empty
     blocks go.  Null or empty html gives an empty text; a null url only means that no template is
-    known; repeated rows and null ids each give a row.
+    known; repeated rows and null ids each give a row.  Up to ``most`` recurring subtrees go to every
+    task; beyond that they are joined by key, with the same result.
     """
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(id_col, url_col, html_col).alias("_key"))
     found, recurring = template_hashes(slim, min_pages, "url", "html")
-    if recurring.isEmpty():
+    few, table = recurring.limit(most + 1).collect(), {}
+    if len(few) <= most:
+        for r in few:
+            table.setdefault(r["host"], []).append(r["hash"])
         work = slim.select("id", "url", "html", F.lit(None).cast("array<long>").alias("gone"))
     else:
-        gone = cut(found.join(recurring, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("gone")))
+        gone = cut(found.select("key", "host", F.explode("kept").alias("hash")).join(recurring, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("gone")))
         work = slim.join(gone, slim["_key"] == gone["key"], "left").select("id", "url", "html", "gone")
     kind = work.schema[0].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h, g) for h, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(h, g or table.get(host_of(u))) for u, h, g in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     out = work.mapInArrow(run, f"id {kind}, url string, text string")

@@ -55,6 +55,17 @@ def test_templates_of_a_site_go(spark):
     assert html.extract(pages).count() == len(rows) and html.extract(pages.limit(0)).count() == 0
 
 
+def test_recurring_blocks_in_articles_go(spark):
+    common = "<h2>Stay close</h2><p>Write to <b>us</b></p><blockquote>Said often</blockquote>Loose words"
+    rows = [(k, f"https://a.example/{k}", f"<title>t{k}</title><article><h1>Head {k}</h1><p>Story {k}</p>{common}</article>") for k in range(10)]
+    menu = "<ul><li>Home</li></ul>"  # a rule drops it on nine pages, only recurrence on the tenth
+    rows += [(20 + k, f"https://b.example/{k}", f"<title>t{k}</title><nav>{menu}</nav><p>Tale {k}</p>" if k else f"<title>t0</title>{menu}<p>Tale 0</p>") for k in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (20_000, 0):  # to every task, and joined by key
+        got = {r.page_id: r.text for r in html.extract(pages, most=most).collect()}
+        assert got == {k: f"Head {k}\nStory {k}" for k in range(10)} | {20 + k: f"Tale {k}" for k in range(10)}
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert html.main_text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
