@@ -2,8 +2,8 @@
 
 ``parse`` walks a page once, with an element stack, and gives its text blocks with the elements
 around each, and a hash of each element's subtree (tag, texts, children).  ``extract`` counts those
-hashes per host, those of paragraphs, headings and parts that go by a rule too, over pages with
-different titles and deletes subtrees that recur on many of them; beside that, what is a menu,
+hashes per host, those of paragraphs, headings and parts that go by a rule too, over pages of
+different content and deletes subtrees that recur on a share of the host's pages; beside that, what is a menu,
 form, advert, notice, comment and the like by its tag, role, class or id goes.
 If a page has an article (else a main part), only what lies inside it is text.
 """
@@ -43,12 +43,12 @@ SCOPE = frozenset("table ul ol dl menu html body article main section div td th"
 
 
 class Page:
-    """Blocks [(text, open elements)], per element its hash (0: no candidate), and the page's title."""
+    """Blocks [(text, open elements)] and per element its hash (0: no candidate)."""
 
-    __slots__ = ("blocks", "hashes", "title")
+    __slots__ = ("blocks", "hashes")
 
     def __init__(self):
-        self.blocks, self.hashes, self.title = [], [], ""
+        self.blocks, self.hashes = [], []
 
 
 def _junk(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
@@ -164,8 +164,6 @@ def parse(html: str, hashing: bool = True) -> Page:
         attrs = m[3] or m[6] or ""
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if tag == "title" and not page.title:
-                page.title = " ".join(unescape(html[at : end.start() if end else n]).split())
             if not attrs.endswith("/") or tag in ("script", "style"):
                 at = end.end() if end else n
             continue
@@ -232,12 +230,13 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def template_hashes(pages: DataFrame, min_pages: int = 8, url_col: str = "url", html_col: str = "html", key: str = "_key"):
+def template_hashes(pages: DataFrame, min_pages: int = 4, share: float = 0.1, url_col: str = "url", html_col: str = "html", key: str = "_key"):
     """Subtrees around text that would stay ``(key, host, kept)``, and the recurring ``(host, hash)``.
 
-    A subtree recurs if pages of its host with at least ``min_pages`` different titles hold it, in
-    what would stay or not: many copies of one page count as one.  Pages without a host or markup
-    have no candidates.
+    A subtree recurs if at least ``min_pages`` different pages of its host hold it, in what would
+    stay or not, and at least ``share`` of the host's different pages do.  Pages differ if the texts
+    that would stay do: many copies of one page count as one.  Pages without a host or markup have no
+    candidates.
     """
 
     def run(batches):
@@ -250,19 +249,22 @@ def template_hashes(pages: DataFrame, min_pages: int = 8, url_col: str = "url",
                 if not html or not host:
                     continue
                 page = parse(html)
-                title = xxhash.xxh64_intdigest(page.title or html) >> 1
+                content = xxhash.xxh64_intdigest("\n".join(b[0] for b in page.blocks) or html) >> 1
                 kept = {page.hashes[i] for b in page.blocks for i in b[1]} - {0}
-                rows.append((k, host, title, list(set(page.hashes) - {0}), list(kept)))
+                rows.append((k, host, content, list({0, *page.hashes}), list(kept)))  # 0 stands for the page itself
             cols = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "host", "title", "hashes", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "host", "content", "hashes", "kept"])
 
-    found = cut(pages.select(F.col(key), F.col(url_col), F.col(html_col)).mapInArrow(run, "key long, host string, title long, hashes array<long>, kept array<long>"))
-    counts = found.select("host", "title", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").count()
-    return found.select("key", "host", "kept"), cut(counts.where(F.col("count") >= min_pages).select("host", "hash"))
+    found = cut(pages.select(F.col(key), F.col(url_col), F.col(html_col)).mapInArrow(run, "key long, host string, content long, hashes array<long>, kept array<long>"))
+    counts = found.select("host", "content", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").count()
+    often = cut(counts.where(F.col("count") >= min_pages))
+    total = often.where("hash = 0").select("host", F.col("count").alias("total"))
+    recurring = often.where("hash != 0").join(total, "host").where(F.col("count") >= share * F.col("total"))
+    return found.select("key", "host", "kept"), cut(recurring.select("host", "hash"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 8, most: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4, share: float = 0.1, most: int = 20_000) -> DataFrame:
     """``(id_col, url_col, text)`` of each page: its main text, blocks joined by one line feed.
 
     Character references are decoded once, white space inside a block becomes one space, and empty
@@ -271,7 +273,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     task; beyond that they are joined by key, with the same result.
     """
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(id_col, url_col, html_col).alias("_key"))
-    found, recurring = template_hashes(slim, min_pages, "url", "html")
+    found, recurring = template_hashes(slim, min_pages, share, "url", "html")
     few, table = recurring.limit(most + 1).collect(), {}
     if len(few) <= most:
         for r in few:

@@ -66,6 +66,22 @@ def test_recurring_blocks_in_articles_go(spark):
         assert got == {k: f"Head {k}\nStory {k}" for k in range(10)} | {20 + k: f"Tale {k}" for k in range(10)}
 
 
+def test_share_of_a_hosts_pages(spark):
+    bar, part = "<div><span>Our site</span></div>", "<p>Shared by some</p>"
+    page = lambda k, host, title, extra: (k, f"https://{host}/{k}", f"<title>{title}</title><body>{bar}<p>Story {k}</p>{extra}</body>")
+    rows = [page(k, "small.example", f"t{k}", "") for k in range(4)]
+    rows += [page(100 + k, "same.example", "The site", "") for k in range(20)]
+    rows += [page(1000 + k, "hot.example", f"t{k}", part if k < 99 else "") for k in range(1000)]
+    rows += [page(3000 + k, "hot2.example", f"t{k}", part if k < 100 else "") for k in range(1000)]
+    rows += [(5000 + k, f"https://copies.example/{k}", f"<title>t{k}</title><body>{bar}<p>One story</p></body>") for k in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert [got[k] for k in (0, 3, 100, 119)] == ["Story 0", "Story 3", "Story 100", "Story 119"]
+    assert (got[1000], got[1999]) == ("Story 1000\nShared by some", "Story 1999")  # 99 of 1000 are not many
+    assert (got[3000], got[3999]) == ("Story 3000", "Story 3999")
+    assert got[5000] == "Our site\nOne story"  # one page, whatever its titles
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert html.main_text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
