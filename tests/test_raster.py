@@ -147,3 +147,14 @@ def test_geometry(spark):
     rows = [("ok", 40, 60, bytearray(pack_mask(body))), ("none", 4, 4, bytearray(pack_mask(np.ones((4, 4), bool))))]
     got = {r.id: r for r in geometry.grips(spark.createDataFrame(rows, "id string, h int, w int, mask binary"), [(-8, 0), (8, 0)], 4, [0.0, 90.0]).collect()}
     assert got["ok"].error is None and got["none"].error
+
+
+def test_wide_median_is_of_the_whole_window():
+    import numpy as np
+
+    from gradewell.operators import kernels
+
+    a = np.random.default_rng(3).random((12, 17))
+    p = np.pad(a, 15, mode="edge")
+    slow = [[np.median(p[y : y + 31, x : x + 31]) for x in range(17)] for y in range(12)]
+    assert kernels.median_around(a, 31).tolist() == slow
