@@ -120,8 +120,8 @@ def nested_calibration(df: DataFrame, fold: str, folds: int, fit: Callable[[Data
 def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, most: int = 100_000) -> DataFrame:
     """(group, fold): groups dealt greedily, the most uneven first, each to the fold where classes stay most even.
 
-    The greedy rule needs all groups' class counts on the driver: up to ``most`` groups; beyond that
-    many, folds by hash are as even.
+    The greedy rule needs all groups' class counts on the driver: up to ``most`` groups.  Beyond that
+    many, folds are by hash and not stratified: a rare class can be missing from some.
     """
     counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("c"))
     n = counts.count()
