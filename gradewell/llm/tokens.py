@@ -5,13 +5,18 @@ with offsets, and neighbours are spliced at a boundary that both encodings have
 stable: a place p with white space at p and none just before it.  No word pattern of these
 tokenizers matches across such a place (white space only begins or forms a match), special strings
 hold no white space, and patterns look ahead only; so what is left of p does not depend on what
-follows, and what is right of p does not depend on what precedes.  Where the overlap holds no such
-boundary, it is doubled, down to the last splice, from where the text is encoded on as one.
+follows, and what is right of p does not depend on what precedes.  Where the pattern's words are of
+one class of characters each (letters, digits, others), so is a change of class, but for what follows
+an apostrophe and what lies in a special string.  Where the overlap holds no such boundary, it is
+doubled, down to the last splice, from where the text is encoded on as one; each such failure in
+turn makes the chunk four times as long, so the sum of what is encoded stays in proportion to the
+text.
 """
 
 from __future__ import annotations
 
 import json
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +27,18 @@ from .common import tokenizer_path
 
 GROUP_CHARS = 1 << 20  # characters encoded by one call
 _CACHE: dict[str, Codec] = {}
+_CLASSES: list[np.ndarray] = []
+# The word pattern of byte-level vocabularies without its white space, of one class a word.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _classes() -> np.ndarray:
+    """Per code point 1 for letters, 2 for digits, 3 for others; 0 for white space and where versions of Unicode may differ."""
+    if not _CLASSES:
+        old, kinds = unicodedata.ucd_3_2_0, {"L": 1, "N": 2, "M": 3, "P": 3, "S": 3}
+        both = ((old.category(c)[0], unicodedata.category(c)[0]) for c in map(chr, range(0x10000)))
+        _CLASSES.append(np.array([kinds.get(a, 0) if a == b else 0 for a, b in both], dtype=np.int8))
+    return _CLASSES[0]
 
 
 class Codec:
@@ -29,7 +46,7 @@ class Codec:
 
     def __init__(self, name: str):
         path = tokenizer_path(name)
-        self.blanks = " "
+        self.blanks, self.classes, self.special = " ", 0, []  # classes: code points below this change class at a boundary
         if path.endswith(".model"):
             import sentencepiece
 
@@ -46,9 +63,12 @@ class Codec:
             with open(path, encoding="utf-8") as f:
                 rules = json.load(f)
             pre = json.dumps(rules["pre_tokenizer"] or {})
+            self.special = [t["content"] for t in rules["added_tokens"]]
             self.spliceable = ('"ByteLevel"' in pre or '"Split"' in pre) and not any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
             if '"use_regex": true' in pre and not rules["normalizer"]:
-                self.blanks = " \n\t\r"
+                self.blanks, self.classes = " \n\t\r", 0x10000
+            elif json.dumps(WORDS) in pre:
+                self.classes = 0x80  # a normaliser may join what is not ASCII
 
     def counts(self, texts: list[str]) -> list[int]:
         if self._sp:
@@ -72,6 +92,32 @@ class Codec:
         e = self._tok.encode(text, add_special_tokens=False)
         return np.array(e.ids, dtype=np.uint32), np.array([x[1] for x in e.offsets], dtype=np.int64)
 
+    def stable(self, text: str, lo: int, hi: int) -> np.ndarray:
+        """Places p of [lo, hi), lo > 0, where a word always ends, by what stands before and at p."""
+        codes = np.frombuffer(text[lo - 1 : hi].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        left, right = codes[:-1], codes[1:]
+        blank = np.isin(right, [ord(c) for c in self.blanks])
+        if blank.any():
+            blank[blank] = [not chr(c).isspace() for c in left[blank].tolist()]
+        if self.classes:
+            kind = np.where(codes < self.classes, _classes()[np.minimum(codes, 0xFFFF)], 0)
+            blank |= (kind[:-1] != kind[1:]) & (kind[:-1] > 0) & (kind[1:] > 0) & (left != ord("'"))
+        places = lo + np.flatnonzero(blank)
+        found, room = [], max(map(len, self.special), default=0)
+        for word in self.special:
+            first = text.find(word, max(0, lo - room), hi + room)
+            while first >= 0:
+                found.append((first, first + len(word)))
+                first = text.find(word, first + 1, hi + room)
+        if found:  # no place inside a special string, but the end of each that is whole right of lo - 1
+            starts, ends = np.array(found).T
+            places = np.union1d(places, ends[(starts >= lo - 1) & (ends >= lo) & (ends < hi)])
+            inside = np.zeros(hi - lo + 1, dtype=np.int64)
+            np.add.at(inside, np.clip(starts + 1, lo, hi) - lo, 1)
+            np.add.at(inside, np.clip(ends, lo, hi) - lo, -1)
+            places = places[np.cumsum(inside)[places - lo] == 0]
+        return places
+
 
 def codec(name: str) -> Codec:
     """The tokenizer of a file, loaded once in a process."""
@@ -80,35 +126,34 @@ def codec(name: str) -> Codec:
     return _CACHE[name]
 
 
-def _stable(text: str, places: np.ndarray, blanks: str) -> int | None:
-    for p in places[::-1].tolist():
-        if text[p] in blanks and not text[p - 1].isspace():
-            return p
-    return None
-
-
 def spliced_ids(tok: Codec, text: str, chunk: int = 32_768, overlap: int = 512):
     """Arrays of ids that together are the ids of the whole text."""
     n = len(text)
     if n <= chunk or not tok.spliceable:
         yield tok.ids([text])[0]
         return
-    at, b = 0, chunk  # all ids before ``at`` are out; the chunk in hand covers at least [at, b)
+    at, b, step = 0, chunk, chunk  # all ids before ``at`` are out; the chunk in hand covers at least [at, b)
     ids, ends = tok.with_ends(text[:b])
     while b < n:
         width = overlap
         while True:
             a = max(b - width, at - 1, 0)
-            b2 = min(n, b + chunk)
+            whole = a <= max(at - 1, 0)
+            places = tok.stable(text, max(a, at) + 1, b)
+            if not whole and not len(places):  # nothing to align: look on before anything is encoded
+                width *= 2
+                continue
+            b2 = min(n, b + step)
             ids2, ends2 = tok.with_ends(text[a:b2])
             ends2 = ends2 + a
-            whole = a <= max(at - 1, 0)
-            p = None if whole else _stable(text, (c := np.intersect1d(ends, ends2))[(c > max(a, at)) & (c < b)], tok.blanks)
-            if p is not None:
+            shared = places[np.isin(places, ends) & np.isin(places, ends2)] if not whole else places[:0]
+            if len(shared):
+                p = int(shared[-1])
                 yield ids[(ends > at) & (ends <= p)] if at else ids[ends <= p]
-                at = p
+                at, step = p, chunk
                 break
-            if whole:  # encoded on from the last splice: nothing to align
+            if whole:  # encoded on from the last splice
+                step *= 4
                 break
             width *= 2
         ids, ends, b = ids2, ends2, b2

@@ -1,5 +1,7 @@
 """Token counts: splicing against whole-text encoding."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -29,6 +31,32 @@ def test_splices_of_awkward_texts(name, chunk, overlap):
         assert np.array_equal(np.concatenate(list(tokens.spliced_ids(tok, text, chunk, overlap))), whole)
 
 
+def test_texts_without_white_space_take_time_in_proportion():
+    tok = tokens.codec("byte_bpe_50k.json")
+    rng = np.random.default_rng(3)
+    chars = np.array(list("abcdeXYZ019+/漢字é"))
+    runs = ("".join(rng.choice(chars[:-3], 400_000)), "".join(rng.choice(chars, 200_000)) + "，。" + "漢字" * 60_000, "x" * 300_000)
+    for text in runs:
+        began = time.perf_counter()
+        whole = tok.ids([text])[0]
+        plain = time.perf_counter() - began
+        began = time.perf_counter()
+        assert np.array_equal(np.concatenate(list(tokens.spliced_ids(tok, text))), whole)
+        assert time.perf_counter() - began < 8 * plain + 1
+
+
+def test_encoded_characters_are_in_proportion(monkeypatch):
+    for name in FILES:
+        tok = tokens.codec(name)
+        for text in ("q" * 5000, "q" * 3000 + "," + "w" * 2000, "ab,cd" * 1000, "<|endoftext|>" * 400):
+            seen = []
+            real = tok.with_ends
+            monkeypatch.setattr(tok, "with_ends", lambda t, real=real, seen=seen: (seen.append(len(t)), real(t))[1])
+            assert np.array_equal(np.concatenate(list(tokens.spliced_ids(tok, text, 100, 8))), tok.ids([text])[0])
+            monkeypatch.undo()
+            assert sum(seen) < 4 * len(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab é漢\n\t'.1<|endoftext|>　\x1c"), min_size=30, max_size=400), st.integers(8, 60), st.integers(1, 9))
 def test_splices_of_random_texts(text, chunk, overlap):
@@ -36,6 +64,13 @@ def test_splices_of_random_texts(text, chunk, overlap):
     assert np.array_equal(np.concatenate(list(tokens.spliced_ids(tok, text, chunk, overlap))), tok.ids([text])[0])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Bc", "é", "e\u0301", "漢", "7", "½", ".", "'", "s", "re", "<|endoftext|>", "<|end", "of", " ", "\n", "…", "\u0300"]), min_size=20, max_size=200), st.integers(8, 60), st.integers(1, 20), st.sampled_from(FILES))
+def test_splices_at_changes_of_class(parts, chunk, overlap, name):
+    tok, text = tokens.codec(name), "".join(parts)
+    assert np.array_equal(np.concatenate(list(tokens.spliced_ids(tok, text, chunk, overlap))), tok.ids([text])[0])
+
+
 def test_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (None, "a b", 0), (4, "a b", 0), (4, "a b", 0), (5, "word " * 40_000, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
