@@ -18,19 +18,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, tokenizer_path
-from .tokens import codec
+from .tokens import codec, spliced_ids
 
 FLUSH = 200_000  # pieces that a task packs at once
-_FAST: dict[str, object] = {}
+HUGE = 1 << 20  # characters from which a text is encoded in spliced chunks
+_FAST: dict[str, FastIds] = {}
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter of each byte in byte-level vocabularies: itself if it prints, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def same_ids(name: str, ranks: dict[bytes, int], pattern: str) -> bool:
+    """Whether the JSON file's tokenizer and the rank table are proven to give the same ids.
+
+    They are if both split words by the same pattern, list the same vocabulary, merge in the order of
+    the ids, and if the JSON file's library gives every entry of the vocabulary as itself.  Then a
+    step of the rank library (join the neighbours whose join has the lowest rank) is always one that
+    the JSON file lists: within the span of an entry both do the same steps up to that join.
+    """
+    import json
+
+    with open(tokenizer_path(name), encoding="utf-8") as f:
+        rules = json.load(f)
+    pre, model = rules["pre_tokenizer"] or {}, rules["model"]
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not rules["normalizer"]
+    if not plain or pattern != WORD_PATTERN or model["type"] != "BPE" or model.get("dropout"):
+        return False
+    letter, added = _byte_letters(), {t["content"] for t in rules["added_tokens"]}
+    vocab = {w: i for w, i in model["vocab"].items() if w not in added}
+    if {bytes(map(letter.__getitem__, w)): i for w, i in vocab.items()} != ranks:
+        return False
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    tokenize = codec(name).model.tokenize
+    return made == sorted(made) and all(len(t) == 1 and t[0].id == i for w, i in vocab.items() for t in [tokenize(w)])
+
+
+# Fixed value: the word pattern of byte-level vocabularies.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class FastIds:
-    """Ids of a byte-level vocabulary by its rank file, with the JSON file's library behind it.
+    """Ids of a byte-level vocabulary, by its rank file where that is proven to give the same.
 
-    ``<name>.tiktoken`` lists the same vocabulary as ranks: both libraries split by the same pattern
-    and merge by the same order, which the tests compare text by text.  The rank library takes about
-    a quarter of the time.  Without such a file, or for a text that it refuses, the JSON file's own
-    library gives the ids.
+    ``<name>.tiktoken`` lists the same vocabulary as ranks; the rank library takes about a quarter of
+    the time.  ``same_ids`` proves the parity of the two files when they are loaded.  Without such a
+    file or proof the JSON file's library gives all ids; it gives those of huge texts anyway, in
+    spliced chunks, and of texts that the rank library's pattern engine refuses.
     """
 
     def __init__(self, name: str):
@@ -40,22 +77,21 @@ class FastIds:
         ranks = tokenizer_path(name).removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks) and os.path.exists(tokenizer_path(name)):
             import base64
-            import json
 
             import tiktoken
-            from public_tokenizers import PATTERN
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            with open(tokenizer_path(name), encoding="utf-8") as f:
-                added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-            self.enc = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=table, special_tokens=added)
+            if same_ids(name, table, WORD_PATTERN):
+                self.enc = tiktoken.Encoding(name, pat_str=WORD_PATTERN, mergeable_ranks=table, special_tokens=codec(name).added)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.enc is not None and len(text) < 4_000_000:
+        if len(text) >= HUGE:
+            return np.concatenate(list(spliced_ids(codec(self.name), text)))
+        if self.enc is not None:
             try:
                 return self.enc.encode_to_numpy(text, allowed_special="all")
-            except Exception:  # the pattern engine gives up on some extreme texts; the library below does not
+            except (ValueError, RuntimeError):  # the pattern engine's limit of steps
                 pass
         return codec(self.name).ids([text])[0]
 
@@ -183,10 +219,11 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", room: int = 2048
     bins = cut(slim.mapInArrow(local, schema))
     limit = int(room * full)
     done, left = [bins.where(F.col("fill") >= limit)], bins.where(F.col("fill") < limit)
-    n, nodes = left.count(), max(1, bins.rdd.getNumPartitions())
+    n, nodes, turn = left.count(), max(1, bins.rdd.getNumPartitions()), 0
     while n > 1:
-        nodes, last = max(-(-n // node_rows), -(-nodes // fan_in)), nodes
-        merged = cut(left.repartition(nodes, "bin").mapInArrow(node, schema))
+        nodes, last, turn = max(-(-n // node_rows), -(-nodes // fan_in)), nodes, turn + 1
+        # keyed by the round too: at an equal number of nodes, others meet than in the round before
+        merged = cut(left.repartition(nodes, F.xxhash64("bin", F.lit(turn))).mapInArrow(node, schema))
         now = merged.count()
         done.append(merged.where(F.col("fill") >= limit))
         left = merged.where(F.col("fill") < limit)

@@ -63,7 +63,8 @@ class Codec:
             with open(path, encoding="utf-8") as f:
                 rules = json.load(f)
             pre = json.dumps(rules["pre_tokenizer"] or {})
-            self.special = [t["content"] for t in rules["added_tokens"]]
+            self.added, self.model = {t["content"]: t["id"] for t in rules["added_tokens"]}, self._tok.model
+            self.special = list(self.added)
             self.spliceable = ('"ByteLevel"' in pre or '"Split"' in pre) and not any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
             if '"use_regex": true' in pre and not rules["normalizer"]:
                 self.blanks, self.classes = " \n\t\r", 0x10000

@@ -76,3 +76,22 @@ def test_best_fit_never_overfills_and_never_leaves_two_that_fit(lengths):
     assert (fill <= 50).all()
     small = np.sort(fill)[:2]
     assert len(small) < 2 or small.sum() > 50
+
+
+def test_parity_is_proven_and_refused(monkeypatch):
+    assert FAST.enc is not None
+    ranks = {FAST.enc.decode_single_token_bytes(i): i for i in range(50256)}
+    assert packing.same_ids("byte_bpe_50k.json", ranks, packing.WORD_PATTERN)
+    assert not packing.same_ids("byte_bpe_50k.json", ranks, r"\S+|\s+")
+    ranks[b"a"], ranks[b"b"] = ranks[b"b"], ranks[b"a"]
+    assert not packing.same_ids("byte_bpe_50k.json", ranks, packing.WORD_PATTERN)
+    monkeypatch.setattr(packing, "same_ids", lambda *_: False)
+    other = packing.FastIds("byte_bpe_50k.json")
+    assert other.enc is None and np.array_equal(other("a b <|endoftext|>"), FAST("a b <|endoftext|>"))
+
+
+def test_huge_texts_have_the_ids_of_the_library(monkeypatch):
+    monkeypatch.setattr(packing, "HUGE", 40_000)
+    text = "some words, 漢字 and 12 more\n" * 3000
+    assert np.array_equal(FAST(text), tokens.codec("byte_bpe_50k.json").ids([text])[0])
+
