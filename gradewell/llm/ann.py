@@ -1,24 +1,43 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids split the vectors into cells; what is left of a vector after its centroid is
-quantised in ``m`` parts of 256 codewords each.  A query looks into its nearest cells, scores their
-codes by tables of its inner products with all codewords (asymmetric distances), and all that may be
-among the best, by the measured error of the codes, are scored exactly on the original vectors.  How many cells a query looks into is
-calibrated: a bounded set of queries is answered by brute force over all rows, and as many cells are
-taken as hold the wanted share of their true neighbours.
-
-Cells are dealt in blocks of bounded size, so a cell with a third of all rows is many tasks' work.
+Coarse centroids in two levels split the vectors into cells of a few rows in small tables, up to
+``max_cells`` in large ones; what is left of a vector after its centroid is quantised in ``m`` parts
+of 256 codewords each.  A query looks into the cells whose centroid is near enough, scores their codes
+by tables of its inner products with all codewords (asymmetric distances), and all that may be among
+the best, by the measured error of the codes, are scored exactly on the original vectors.
+
+Two figures say what is near enough.  A query's floor is its k-th best score in a bounded sample of
+rows, which the k-th best of all rows can't be below.  How far a centroid may lie under that floor is
+calibrated: a bounded set of queries is answered by brute force over all rows, and the distance that
+covers the wanted share of their true neighbours is taken.
+
+Rows lie in a line by cell, cut into groups of equal size, so a cell with a third of all rows is many
+groups' work, and neighbouring cells share a group.  A task holds the rows of one group at a time and
+streams the queries past them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, parts
 
+PAIRS, STRIP = 1 << 20, 1 << 15  # codes scored by one call, and in one strip of it that stays in the cache
+
+
+def _sums(x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size and vector sum of each of k groups of rows."""
+    order = np.argsort(own, kind="stable")
+    size = np.bincount(own, minlength=k)
+    total = np.zeros((k, x.shape[1]), dtype=x.dtype)
+    some = np.flatnonzero(size)
+    if len(some):
+        total[some] = np.add.reduceat(x[order], (np.cumsum(size) - size)[some], axis=0)
+    return size, total
+
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """Centroids of x; an empty cell is moved to the point farthest from its own."""
@@ -27,9 +46,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     for _ in range(rounds):
         d = (c * c).sum(1) - 2 * (x @ c.T)
         own = d.argmin(1)
-        size = np.bincount(own, minlength=len(c))
-        total = np.zeros_like(c)
-        np.add.at(total, own, x)
+        size, total = _sums(x, own, len(c))
         full = size > 0
         c[full] = total[full] / size[full, None]
         far = np.argsort(-(d[np.arange(len(x)), own] + (x * x).sum(1)), kind="stable")
@@ -38,16 +55,42 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids and codebooks; what the tasks need to encode rows and to score codes."""
+    """Centroids in two levels and codebooks; what the tasks need to encode rows and to score codes.
+
+    ``coarse`` are the cells' centroids, those of one upper cell side by side; ``first`` are the upper
+    cells' beginnings (and the end), ``upper`` their centroids, ``spread`` the mean distance of a
+    cell's rows from its centroid.
+    """
 
-    def __init__(self, coarse: np.ndarray, books: np.ndarray):
-        self.coarse, self.books = coarse.astype(np.float32), books.astype(np.float32)
+    def __init__(self, coarse: np.ndarray, first: np.ndarray, upper: np.ndarray, books: np.ndarray, spread: np.ndarray | None = None):
+        self.coarse, self.upper, self.books = (a.astype(np.float32) for a in (coarse, upper, books))
+        self.first = first
+        self.spread = np.zeros(len(coarse), np.float32) if spread is None else spread.astype(np.float32)
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        half = (self.coarse * self.coarse).sum(1) / 2
+    def cells(self, x: np.ndarray, look: int = 6) -> np.ndarray:
+        """The nearest cell of each row among those of its ``look`` nearest upper cells."""
         out = np.empty(len(x), dtype=np.int32)
-        for at in range(0, len(x), 4096):
-            out[at : at + 4096] = (half - x[at : at + 4096] @ self.coarse.T).argmin(1)
+        half, high = (self.coarse * self.coarse).sum(1) / 2, (self.upper * self.upper).sum(1) / 2
+        for at in range(0, len(x), 8192):
+            part = x[at : at + 8192]
+            far = high - part @ self.upper.T
+            look = min(look, len(self.upper))
+            near = np.argpartition(far, look - 1, axis=1)[:, :look]
+            rows, ups = np.repeat(np.arange(len(part)), look), near.ravel()
+            order = np.argsort(ups, kind="stable")
+            rows, ups = rows[order], ups[order]
+            best, cell = np.full(len(part), np.inf, np.float32), np.zeros(len(part), np.int32)
+            cuts = np.searchsorted(ups, np.arange(len(self.upper) + 1))
+            for u, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                lo, hi = self.first[u], self.first[u + 1]
+                if a < b and lo < hi:
+                    r = rows[a:b]
+                    d = half[lo:hi] - part[r] @ self.coarse[lo:hi].T
+                    k = d.argmin(1)
+                    d = d[np.arange(len(r)), k]
+                    new = d < best[r]
+                    best[r[new]], cell[r[new]] = d[new], lo + k[new]
+            out[at : at + 8192] = cell
         return out
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
@@ -59,18 +102,34 @@ class Index:
             codes[:, j] = (half - rest[:, j] @ self.books[j].T).argmin(1)
         return codes
 
-    def order(self, q: np.ndarray) -> np.ndarray:
-        """Cells by the query's inner product with their centroids, best first."""
-        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
+    def nearness(self, q: np.ndarray, cells=slice(None)) -> np.ndarray:
+        """Of queries and cells: the inner product with the centroid, and some of the cell's spread."""
+        return q @ self.coarse[cells].T + np.linalg.norm(q, axis=1)[:, None] * (self.spread[cells] / 4)
 
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of each query with all codewords: [queries, m * codewords]."""
+        m, words, width = self.books.shape
+        return np.einsum("jkw,qjw->qjk", self.books, q.reshape(len(q), m, width), optimize=True).reshape(len(q), m * words)
 
-def fit(sample: np.ndarray, cells: int, m: int = 16, rounds: int = 12, seed: int = 7) -> Index:
+
+def fit(sample: np.ndarray, cells: int, m: int = 16, rounds: int = 8, seed: int = 7, book_rows: int = 16_384) -> Index:
     """Index of a sample; the number of dimensions is padded by zeros to a multiple of m by the caller."""
-    coarse = _kmeans(sample, cells, rounds, seed)
-    index = Index(coarse, np.zeros((m, 1, sample.shape[1] // m)))
-    rest = (sample - index.coarse[index.cells(sample)]).reshape(len(sample), m, -1)
-    books = [_kmeans(np.ascontiguousarray(rest[:, j]), min(256, len(sample)), rounds, seed + j) for j in range(m)]
-    return Index(coarse, np.stack(books))
+    upper = _kmeans(sample, max(1, round(np.sqrt(cells))), rounds, seed)
+    own = ((upper * upper).sum(1) / 2 - sample @ upper.T).argmin(1)
+    groups = np.split(np.argsort(own, kind="stable"), np.cumsum(np.bincount(own, minlength=len(upper)))[:-1])
+    share = cells / len(sample)
+    coarse = [_kmeans(sample[g], max(1, round(share * len(g))), rounds, seed + 1) if len(g) else sample[:0] for g in groups]
+    first = np.cumsum([0, *map(len, coarse)])
+    index = Index(np.concatenate(coarse), first, upper, np.zeros((m, 1, sample.shape[1] // m)))
+    cell = index.cells(sample)
+    away = sample - index.coarse[cell]
+    size = np.bincount(cell, minlength=len(index.coarse))
+    spread = np.bincount(cell, weights=np.linalg.norm(away, axis=1), minlength=len(size)) / np.maximum(size, 1)
+    if len(size) * 2 > len(sample):  # so few rows a cell that those of the sample say little of the others
+        spread[:] = 0
+    rest = away[:book_rows].reshape(min(len(away), book_rows), m, -1)
+    books = [_kmeans(np.ascontiguousarray(rest[:, j]), min(256, len(rest)), rounds, seed + j) for j in range(m)]
+    return Index(index.coarse, first, upper, np.stack(books), spread)
 
 
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
@@ -80,31 +139,29 @@ def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
 
 
-def _exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of rows with one query, each summed the same way wherever its row stands."""
-    return (v * q).sum(axis=1)
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids."""
-    if len(scores) > 4 * k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= edge)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+def _exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with queries (one each, or one for all), each summed the same way wherever its row stands."""
+    return (v * q).sum(axis=1)
 
 
-def _edge(scores: np.ndarray, k: int, margin: float) -> np.ndarray:
-    """Places whose score is at most ``margin`` below the k-th largest: all that may belong to the best k."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - margin)
+def _first_k(owner: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each owner's k largest scores, ties to smaller ids, by owner and best first."""
+    order = np.lexsort((ids, -scores, owner))
+    own = owner[order]
+    head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    rank = np.arange(len(own)) - np.repeat(head, np.diff(np.r_[head, len(own)]))
+    return order[rank < k]
 
 
 def code_error(index: Index, sample: np.ndarray, queries: int = 64, rows: int = 4000) -> float:
     """Standard deviation of the inner products' error that the codes make, per unit of the query's length."""
-    x, q = sample[:rows], sample[-queries:]
+    x, q = sample[-rows:], sample[:queries]
     cell = index.cells(x)
     codes = index.encode(x, cell)
     lost = x - index.coarse[cell] - np.concatenate([index.books[j][codes[:, j]] for j in range(codes.shape[1])], axis=1)
@@ -112,6 +169,24 @@ def code_error(index: Index, sample: np.ndarray, queries: int = 64, rows: int =
     return float(((lost @ q.T) / np.where(norm > 0, norm, 1)).std())
 
 
+def floors(q: np.ndarray, q_ids: np.ndarray, guide: np.ndarray, guide_ids: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among the guide rows of other ids, less rounding; -inf if there are fewer."""
+    out = np.full(len(q), -np.inf)
+    for at in range(0, len(q), 256):
+        s = q[at : at + 256] @ guide.T
+        s[q_ids[at : at + 256, None] == guide_ids[None, :]] = -np.inf
+        if s.shape[1] >= k:
+            best = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k].astype(np.float64)
+            out[at : at + 256] = best - 1e-5 * np.linalg.norm(q[at : at + 256], axis=1) * np.abs(guide).max(initial=1.0)
+    return out
+
+
+def top_k(found: DataFrame, by: str, k: int) -> DataFrame:
+    """The ``k`` best rows of each ``by`` as ``rank`` 0 and on: a group limit before and after one shuffle."""
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def search(
     vectors: DataFrame,
     is_query,
@@ -119,13 +194,14 @@ def search(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     m: int = 16,
-    sample_rows: int = 20_000,
-    max_cells: int = 4096,
-    rerank: float = 4.0,
-    recall: float = 0.985,
-    calibrate: int = 64,
-    block_rows: int = 4096,
-    task_pairs: int = 16,
+    sample_rows: int = 65_536,
+    max_cells: int = 8192,
+    guide_rows: int = 16_384,
+    rerank: float = 3.5,
+    recall: float = 0.97,
+    calibrate: int = 128,
+    block_rows: int = 65_536,
+    stats: dict | None = None,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found by inner product, best first.
 
@@ -133,158 +209,194 @@ def search(
     (rows with the query's id are left out).  Vectors that are null, empty, zero, of another length
     than most, or hold null or non-finite components take no part, nor do rows with a null id.  A
     query with fewer candidates than ``k`` gets all of them.  Scores are exact, in double precision,
-    on the original vectors; ties go to the smaller id.  Repeated rows are candidates each.
-
-    The index is fitted on at most ``sample_rows`` vectors in hash order of their ids; all rows are
-    indexed.  ``calibrate`` queries find the number of cells that hold a ``recall`` share of true
-    neighbours; a query's cells always hold at least ``k`` other rows where there are so many.
-    Reranked is what scores within ``rerank`` standard errors of the codes below the k-th best.
+    on the original vectors; ties go to the smaller id.  Repeated rows are candidates each; of a query
+    id with several vectors, the least one asks.
+
+    The index is fitted on at most ``sample_rows`` rows in hash order of their ids; all rows are
+    indexed, in a cell for every two rows up to ``max_cells`` (and one for eight sampled rows in large tables).
+    ``calibrate`` queries find how far below a query's floor a cell may lie so that a ``recall`` share
+    of true neighbours is looked at; a query's cells always hold at least ``k`` other rows where there
+    are so many.  Reranked is what scores within ``rerank`` standard errors of the codes below the
+    floor.  ``stats``, if given, gets the number of cells, the calibrated distance and the share of all
+    rows whose codes a query scores, measured on the same queries.
     """
     spark = vectors.sparkSession
-    kind = dict(vectors.dtypes)[id_col]
+    types = dict(vectors.dtypes)
+    kind, listed = types[id_col], types[vec_col] if types[vec_col] in ("array<float>", "array<double>") else "array<double>"
     schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
-    raw = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    raw = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast(listed).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = raw.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(finite & F.exists("v", lambda x: x != 0))
-    widths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not widths:
+    widths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("count"), F.count_if("q").alias("asks")).orderBy(F.desc("count"), "n").limit(1).collect()
+    if not widths or not widths[0][2]:
         return spark.createDataFrame([], schema)
-    dims, n = widths[0]
+    dims, n, asking = widths[0]
     rows = rows.where(F.size("v") == dims)
-
-    def read(chosen, limit):
-        got = chosen.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(limit).toArrow()
-        return got.column("id").to_numpy(zero_copy_only=False), _vectors(got.column("v"), dims)
-
     padded = -(-dims // m) * m
 
     def pad(x):
         return np.pad(x.astype(np.float32), ((0, 0), (0, padded - dims)))
 
-    sampled = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    sample = read(rows.join(F.broadcast(sampled.distinct()), "id", "left_semi"), sample_rows)[1]  # at most sample_rows ids
-    cells = int(min(max_cells, max(1, round(np.sqrt(n))), max(1, len(sample) // 8)))
-    index = fit(pad(sample), cells, m)
-    margin = rerank * code_error(index, pad(sample))
-
-    # brute force for a few queries: the rank of the cell that holds each true neighbour
-    test_ids, tests = read(rows.where("q"), calibrate)
+    def sample_of(chosen, total, limit):
+        """At most ``limit`` of about ``total`` rows, one of each id, in hash order: a cut of the hashes first, so little is ordered."""
+        rank = F.xxhash64("id")
+        cut_at = min(1.0, 1.1 * (limit + 1000) / total) * 2.0**64 - 2.0**63
+        few = chosen.where(rank <= int(min(cut_at, 2.0**63 - 1024))) if cut_at < 2.0**63 - 1024 else chosen
+        got = few.groupBy("id").agg(F.min("v").alias("v")).orderBy(rank, "id").limit(limit).toArrow()
+        return got.column("id").to_numpy(zero_copy_only=False), _vectors(got.column("v"), dims)
 
-    def true_best(batches):
-        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(tests)
-        for batch in batches:
-            ids, v = batch.column(0).to_numpy(zero_copy_only=False), _vectors(batch.column(1), dims)
-            if not len(ids):
-                continue
-            cell = index.cells(pad(v))
-            for t in range(len(tests)):
-                s = _exact(v, tests[t])
-                s[ids == test_ids[t]] = -np.inf
-                top = _best(s, np.arange(len(s)), k)
-                merged = [np.concatenate(x) for x in zip(best[t], (s[top], ids[top], cell[top]))]
-                keep = np.argsort(-merged[0], kind="stable")[:k]
-                best[t] = tuple(x[keep] for x in merged)
-        for t, (s, _, c) in enumerate(best):
-            good = np.isfinite(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(good.sum()), t)), pa.array(s[good]), pa.array(c[good].astype(np.int32))], names=["t", "s", "c"])
-
-    near = rows.select("id", "v").mapInArrow(true_best, "t long, s double, c int").toArrow().to_pandas() if len(tests) else None
-    place = []
-    if near is not None and len(near):
-        at = np.argsort(index.order(pad(tests)), axis=1, kind="stable")
-        for t, g in near.groupby("t"):
-            place.extend(at[t][g.nlargest(k, "s")["c"].to_numpy()].tolist())
-    probes = int(np.quantile(place, min(1.0, recall), method="higher")) + 1 if place else index.coarse.shape[0]
+    sample_ids, sample = sample_of(rows, n, sample_rows)
+    sample = pad(sample)
+    cells = int(min(max_cells, max(1, n // 2), max(1, len(sample) // (8 if n > sample_rows else 2))))
+    index = fit(sample, cells, m)
+    margin = rerank * code_error(index, sample)
+    guide, guide_ids = sample[:guide_rows], sample_ids[:guide_rows]
 
     def encode(batches):
         for batch in batches:
-            v = _vectors(batch.column(1), dims)
-            x = pad(v)
+            x = pad(_vectors(batch.column(1), dims))
             cell = index.cells(x)
-            codes = index.encode(x, cell)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell), pa.array(list(map(bytes, codes)), pa.binary())], names=["id", "v", "q", "cell", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell), _binary(index.encode(x, cell))], names=["id", "v", "q", "cell", "code"])
 
-    coded = cut(rows.select("id", "v", "q").mapInArrow(encode, f"id {kind}, v array<double>, q boolean, cell int, code binary"))
-    sizes = np.zeros(index.coarse.shape[0], dtype=np.int64)
+    coded = cut(rows.select("id", "v", "q").mapInArrow(encode, f"id {kind}, v {listed}, q boolean, cell int, code binary"))
+    sizes = np.zeros(len(index.coarse), dtype=np.int64)
     for r in coded.groupBy("cell").count().collect():  # at most max_cells rows
         sizes[r[0]] = r[1]
-    blocks = np.maximum(1, -(-sizes // block_rows))
+
+    # brute force for a few queries: how far the cells of their true neighbours lie below their floors
+    test_ids, tests = sample_of(rows.where("q"), asking, calibrate)
+
+    def true_best(batches):
+        best = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, test_ids.dtype), np.zeros(0, np.int32)]  # test, score, id, cell
+        for batch in batches:
+            ids, v, cell = batch.column(0).to_numpy(zero_copy_only=False), _vectors(batch.column(1), dims), batch.column(2).to_numpy()
+            for t in range(len(tests)):
+                s = _exact(v, tests[t])
+                s[ids == test_ids[t]] = -np.inf
+                top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+                top = top[np.isfinite(s[top])]
+                best = [np.concatenate(x) for x in zip(best, (np.full(len(top), t), s[top], ids[top], cell[top]))]
+            keep = _first_k(best[0], best[1], best[2], k)
+            best = [x[keep] for x in best]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["t", "score", "vec_id", "cell"])
+
+    wide = index.nearness(pad(tests))
+    near = top_k(coded.select("id", "v", "cell").mapInArrow(true_best, f"t long, score double, vec_id {kind}, cell int"), "t", k).select("t", "cell").toArrow()  # calibrate * k rows
+    low = floors(pad(tests), test_ids, guide, guide_ids, k)
+    t, c = near.column("t").to_numpy(), near.column("cell").to_numpy()
+    gaps = (wide[t, c] - low[t]) / np.linalg.norm(tests, axis=1)[t]
+    gaps = gaps[np.isfinite(gaps)]
+    gap = float(np.quantile(gaps, 1 - recall, method="lower")) if len(gaps) else -np.inf
+    if stats is not None:
+        edge = (low + gap * np.linalg.norm(tests, axis=1))[:, None]
+        stats.update(cells=len(sizes), gap=gap, margin=margin, share=float(((wide >= edge) @ sizes).mean() / n))
+
+    # rows in a line by cell; a group is a stretch of it
+    start = np.cumsum(sizes) - sizes
+    per = int(min(block_rows, max(512, -(-n // (4 * parts(spark, n, block_rows))))))
+    lo_group, hi_group = start // per, (start + np.maximum(sizes, 1) - 1) // per
+    groups = int(-(-n // per))
 
     def probe(batches):
         for batch in batches:
-            q = pad(_vectors(batch.column(1), dims))
-            owner, cell, block = [], [], []
-            for i, order in enumerate(index.order(q)):
-                enough = int(np.searchsorted(np.cumsum(sizes[order]), min(n, 8 * (k + 1)))) + 1
-                for c in order[: max(probes, enough)].tolist():
-                    if sizes[c]:
-                        for b in range(int(blocks[c])):
-                            owner.append(i)
-                            cell.append(c)
-                            block.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), batch.column(1).take(pa.array(owner, pa.int64())), pa.array(cell, pa.int32()), pa.array(block, pa.int32())], names=["id", "v", "cell", "block"])
-
-    # a task holds some blocks of cells and every query that looks into them
-    n_blocks = int(blocks.sum())
-    first = np.cumsum(blocks) - blocks
-    firsts = spark.createDataFrame([(int(c), int(first[c]), int(blocks[c])) for c in range(len(sizes)) if sizes[c]], "cell int, first int, blocks int")  # at most max_cells rows
-    tasks = parts(spark, n_blocks, task_pairs)
-    group = F.pmod(F.col("first") + F.col("block"), F.lit(tasks))
-    candidates = coded.join(F.broadcast(firsts), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(group.alias("g"), "cell", "block", F.lit(False).alias("asks"), "id", "v", "code")
-    asked = coded.where("q").select("id", "v").mapInArrow(probe, f"id {kind}, v array<double>, cell int, block int")
-    asked = asked.join(F.broadcast(firsts), "cell").select(group.alias("g"), "id", "v", "cell", "block").groupBy("g", "id").agg(F.first("v").alias("v"), F.collect_list(F.struct("cell", "block")).alias("looks"))
-    looks = "array<struct<cell:int,block:int>>"
-    both = candidates.withColumn("looks", F.lit(None).cast(looks)).unionByName(asked.select("g", F.lit(-1).alias("cell"), F.lit(-1).alias("block"), F.lit(True).alias("asks"), "id", "v", F.lit(None).cast("binary").alias("code"), "looks"))
+            ids, x = batch.column(0).to_numpy(zero_copy_only=False), pad(_vectors(batch.column(1), dims))
+            norm = np.linalg.norm(x, axis=1).astype(np.float64)
+            low = floors(x, ids, guide, guide_ids, k)
+            score = index.nearness(x).astype(np.float64)
+            score[:, sizes == 0] = -np.inf
+            order = np.argsort(-score, axis=1, kind="stable")
+            enough = (np.cumsum(sizes[order], axis=1) < min(n, 8 * (k + 1))).sum(axis=1)  # the last cell of those that hold enough rows
+            at_least = score[np.arange(len(x)), order[np.arange(len(x)), np.minimum(enough, int((sizes > 0).sum()) - 1)]]
+            edge = np.minimum(low + gap * norm, at_least) - 1e-4 * (norm + np.abs(at_least))
+            owner, group = [], []
+            for i in range(len(x)):
+                hit = np.flatnonzero(score[i] >= edge[i] - 1e-5 * (norm[i] + abs(edge[i])))
+                open_ = np.zeros(groups + 1, dtype=np.int64)
+                np.add.at(open_, lo_group[hit], 1)
+                np.add.at(open_, hi_group[hit] + 1, -1)
+                g = np.flatnonzero(np.cumsum(open_[:-1]) > 0)
+                owner.append(np.full(len(g), i))
+                group.append(g)
+            owner = np.concatenate(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group)), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(edge[owner]), pa.array(low[owner])], names=["g", "id", "v", "edge", "low"])
+
+    places = spark.createDataFrame([(int(c), int(start[c]), int(sizes[c])) for c in np.flatnonzero(sizes)], "cell int, start long, size long")  # at most max_cells rows
+    spot = F.col("start") + F.pmod(F.xxhash64("id", F.lit(5)), F.col("size"))
+    candidates = coded.join(F.broadcast(places), "cell").select(F.floor(spot / per).cast("long").alias("g"), F.lit(False).alias("asks"), "id", "v", "cell", "code", F.lit(None).cast("double").alias("edge"), F.lit(None).cast("double").alias("low"))
+    queries = coded.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    asked = queries.mapInArrow(probe, f"g long, id {kind}, v {listed}, edge double, low double")
+    asked = asked.select("g", F.lit(True).alias("asks"), "id", "v", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("code"), "edge", "low")
 
     def answer(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        asks = t.column("asks").to_numpy()
-        rest, q = t.filter(pa.array(~asks)), t.filter(pa.array(asks))
-        if not len(rest) or not len(q):
-            return
-        cell, block, ids = (rest.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "id"))
-        order = np.lexsort((ids, block, cell))
-        cell, block, ids = cell[order], block[order], ids[order]
-        v = _vectors(rest.column("v"), dims)[order]
-        codes = np.frombuffer(b"".join(rest.column("code").to_pylist()), dtype=np.uint8).reshape(len(rest), m)[order]
-        new = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1])])
-        span = {(int(cell[a]), int(block[a])): (a, b) for a, b in zip(new, [*new[1:], len(cell)])}
-        width = padded // m
-        slots = (np.arange(m) * index.books.shape[1])[None, :]
-        flat = np.ascontiguousarray(codes + slots)  # place of each code in a flat table
-        qid, qv, qlooks = q.column("id").to_numpy(zero_copy_only=False), _vectors(q.column("v"), dims), q.column("looks").to_pylist()
-        out: list[list[np.ndarray]] = [[], [], []]
-        for i in range(len(qid)):
-            x = pad(qv[i : i + 1])[0]
-            table = np.einsum("jkw,jw->jk", index.books, x.reshape(m, width)).ravel()
-            spans = [(span[key], key[0]) for key in sorted((e["cell"], e["block"]) for e in qlooks[i]) if key in span]
-            if not spans:
+        held: list[pa.RecordBatch] = []  # candidates of the group in hand
+        state = None  # (group, its arrays)
+
+        def load(group):
+            t = pa.Table.from_batches(held)
+            cell, ids = t.column("cell").to_numpy(), t.column("id").to_numpy(zero_copy_only=False)
+            order = np.argsort(cell, kind="stable")
+            codes = np.frombuffer(b"".join(t.column("code").to_pylist()), dtype=np.uint8).reshape(len(t), m)[order]
+            cell = cell[order]
+            new = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            flat = np.ascontiguousarray((codes + (np.arange(m, dtype=np.int32) * index.books.shape[1])[None, :]).T)
+            return group, cell[new], np.r_[new, len(cell)], flat, ids[order], _vectors(t.column("v"), dims)[order]
+
+        def ask(part):
+            _, cell, first, flat, ids, v = state
+            qid, qv = part.column("id").to_numpy(zero_copy_only=False), _vectors(part.column("v"), dims)
+            edge, low = part.column("edge").to_numpy(), part.column("low").to_numpy()
+            x = pad(qv)
+            norm = np.linalg.norm(qv, axis=1)
+            size = np.diff(first)
+            look = index.nearness(x, cell) >= edge[:, None]
+            pairs = np.cumsum(look @ size)
+            at = 0
+            while at < len(qid):
+                end = max(at + 1, min(at + 256, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + PAIRS, side="right"))))
+                i, c = np.nonzero(look[at:end])
+                if len(i):
+                    table = index.tables(x[at:end]).ravel()
+                    base = (x[at:end] @ index.coarse[cell].T)[i, c]
+                    span = size[c]
+                    row = np.repeat(first[c] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+                    q = np.repeat(i, span)
+                    rough, shift = np.repeat(base, span), (q * (m * index.books.shape[1])).astype(np.int32)
+                    spot, term = np.empty(STRIP, np.int32), np.empty(STRIP, np.float32)
+                    for a in range(0, len(row), STRIP):
+                        r, n_r = row[a : a + STRIP], min(STRIP, len(row) - a)
+                        for j in range(m):
+                            np.take(flat[j], r, out=spot[:n_r], mode="clip")
+                            spot[:n_r] += shift[a : a + STRIP]
+                            np.take(table, spot[:n_r], out=term[:n_r], mode="clip")
+                            rough[a : a + STRIP] += term[:n_r]
+                    q += at
+                    may = np.flatnonzero((rough >= (low - margin * norm)[q]) & (ids[row] != qid[q]))
+                    q, row = q[may], row[may]
+                    score = _exact(v[row], qv[q])
+                    best = _first_k(q, score, ids[row], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[q[best]]), pa.array(ids[row[best]]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
+                at = end
+
+        group = None
+        for batch in batches:
+            gs, asks = batch.column("g").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            if not len(gs):
                 continue
-            at = np.concatenate([np.arange(a, b) for (a, b), _ in spans])
-            base = np.repeat([float(index.coarse[c] @ x) for _, c in spans], [b - a for (a, b), _ in spans])
-            rough = table[flat[at]].sum(axis=1) + base
-            own = ids[at] != qid[i]
-            at, rough = at[own], rough[own]
-            at = at[_edge(rough, k, margin * float(np.linalg.norm(qv[i])))]
-            exact = _exact(v[at], qv[i])
-            top = _best(exact, ids[at], k)
-            out[0].append(np.full(len(top), qid[i]))
-            out[1].append(ids[at][top])
-            out[2].append(exact[top])
-            if len(out[0]) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
-                out = [[], [], []]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
-
-    found = both.repartition(tasks, "g").mapInArrow(answer, f"query_id {kind}, vec_id {kind}, score double")
-    # per query the best k of its tasks' best k: at most tasks * k short rows
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
-    ranked = best.select("query_id", F.posexplode("top").alias("rank", "e"))
-    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))
+            cuts = np.flatnonzero(np.r_[True, (gs[1:] != gs[:-1]) | (asks[1:] != asks[:-1])])
+            for a, b in zip(cuts, [*cuts[1:], len(gs)]):
+                part = batch.slice(a, b - a)
+                if gs[a] != group:
+                    group, held, state = gs[a], [], None
+                if not asks[a]:
+                    held.append(part)
+                elif held:
+                    if state is None:
+                        state = load(group)
+                    yield from ask(part)
+
+    both = candidates.unionByName(asked).repartition(parts(spark, n, per), "g").sortWithinPartitions("g", "asks")
+    found = both.mapInArrow(answer, f"query_id {kind}, vec_id {kind}, score double")
+    return top_k(found, "query_id", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def measured_recall(found: DataFrame, vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", queries: int = 100) -> float:
