@@ -54,6 +54,30 @@ def test_edited_notices(spark, monkeypatch, max_keys):
     assert found(licenses.scan(docs)) == slow_scan(rows, licenses.TEMPLATES)
 
 
+@pytest.mark.parametrize("max_keys, most", [(50_000, 0), (1, 1_000_000), (1, 0)])
+def test_shingles_that_lie_apart(spark, monkeypatch, max_keys, most):
+    """Templates whose hashes are never first in a window, each shingle of them far from the others."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(licenses, "MAX_KEYS", max_keys)
+    monkeypatch.setattr(licenses, "MAX_BROADCAST", most)
+    pool = [" ".join(f"t{i}w{k}" for k in range(10)) for i in range(3000)]
+    hashed = licenses.with_shingles(spark.createDataFrame([(i, p) for i, p in enumerate(pool)], "i int, text string"), "text", F.col("i"))
+    low = [r._c0 for r in hashed.orderBy(F.array_max("_h")).limit(20).collect()]
+    templates = {f"L{i}": pool[i] for i in low}
+    rows = []
+    for n, i in enumerate(low):
+        words = pool[i].split()
+        shingles = [" ".join(words[k : k + 5]) for k in range(6)]
+        for gone in range(6):  # five of the six, apart from each other and in another order
+            rest = [s for k, s in enumerate(shingles) if k != gone][::-1]
+            rows.append((100 * n + gone, " ".join(f"{s} " + " ".join(f"f{n}x{gone}y{j}z{k}" for k in range(12)) for j, s in enumerate(rest))))
+        rows.append((100 * n + 50, " filler ".join(shingles[:4])))  # four of six: too few
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    want = slow_scan(rows + rows[:1], templates)
+    assert found(licenses.scan(docs, templates)) == want and len(want) == 121
+
+
 def test_edges(spark):
     notice = licenses.TEMPLATES["MIT"]
     rows = [(1, None, "x"), (2, "", "x"), (3, "one two", "x"), (None, notice, "x"), (4, notice, "x"), (4, notice, "x"), (5, "x " * 100_000 + notice, "x")]
