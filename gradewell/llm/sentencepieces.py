@@ -7,7 +7,9 @@ segmentation: each occurrence of a word has its own.  A skip depends on nothing
 candidate is one that is never on the agenda, and any order of work gives the same pieces.
 
 ``merge_words`` settles the agendas of many words together in numpy: in each round every word makes
-its best merge.  ``merge_agenda`` does one word with a heap; it serves very long words.
+its best merge.  A long word is first cut where no piece of the vocabulary holds the two characters
+side by side: no merge can cross such a place, so its parts have agendas of their own.  Only a part
+that is long itself is done by ``merge_agenda``, with a heap.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from .common import tokenizer_path
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SPACE = "▁"
-LONG = 96  # characters from which a word has a heap of its own
+LONG = 96  # characters from which a word is cut into parts, and a part has a heap of its own
+_ALL = (1 << 64) - 1
 GROUP_CHARS = 3 << 19
 _MODELS: dict[str, Pieces] = {}
 
@@ -80,6 +83,14 @@ class Pieces:
         self.char_id[ord(" ")] = self.char_id[ord(SPACE)]
         self.char_id[ord(SPACE)] = -1  # a space mark in the text itself is spelt in bytes: decoding gives it back
         self.vocabulary = n
+        side = {ids[a] * self.size + ids[b] for p in order for a, b in zip(p, p[1:])}
+        self.side = np.array(sorted(side), dtype=np.int64)  # characters that stand side by side in some piece
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where no piece holds the two characters side by side."""
+        pair = left * self.size + right
+        at = np.minimum(np.searchsorted(self.side, pair), max(len(self.side) - 1, 0))
+        return (left < 0) | (right < 0) | ((self.side[at] != pair) if len(self.side) else True)
 
 
 def pieces(name: str) -> Pieces:
@@ -95,21 +106,33 @@ def _skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.nda
     h = key ^ ((start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64))
     h = (h ^ (h >> np.uint64(31))) * _MIX
     h = (h ^ (h >> np.uint64(27))) * _MUL
-    return (h ^ (h >> np.uint64(31))) < np.uint64(min(int(dropout * 2.0**64), (1 << 64) - 1))
+    return (h ^ (h >> np.uint64(31))) < np.uint64(_limit(dropout))
+
+
+def _limit(dropout: float) -> int:
+    return min(int(dropout * 2.0**64), _ALL)
 
 
-def merge_agenda(model: Pieces, symbols: list[int], key: int, dropout: float) -> list[tuple[int, int]]:
-    """(id, start) of the pieces of one word, by a heap of candidates."""
+def _skips(key: int, start: int, middle: int, end: int, limit: int) -> bool:
+    """``_skipped`` of one candidate."""
+    h = (key ^ (start << 42) ^ (middle << 21) ^ end) & _ALL
+    h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & _ALL
+    h = (h ^ (h >> 27)) * 0x9E3779B97F4A7C15 & _ALL
+    return h ^ (h >> 31) < limit
+
+
+def merge_agenda(model: Pieces, symbols: list[int], key: int, dropout: float, base: int = 0) -> list[tuple[int, int]]:
+    """(id, start) of the pieces of one word, by a heap of candidates; ``base`` is its place in the word whose key it has."""
     n = len(symbols)
     sym, end, nxt, prv = list(symbols), list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[int, int, int, int, int]] = []
-    one = np.array([key], dtype=np.uint64)
+    limit, known, width = _limit(dropout) if dropout > 0 else 0, model.merges.get, model.size
 
     def add(i):
         j = nxt[i]
         if j < n and sym[i] >= 0 and sym[j] >= 0:
-            hit = model.merges.get(sym[i] * model.size + sym[j])
-            if hit and not _skipped(one, np.array([i]), np.array([j]), np.array([end[j]]), dropout)[0]:
+            hit = known(sym[i] * width + sym[j])
+            if hit and not (limit and _skips(key, base + i, base + j, base + end[j], limit)):
                 heapq.heappush(heap, (hit[0], i, j, end[j], hit[1]))
 
     for i in range(n - 1):
@@ -119,7 +142,7 @@ def merge_agenda(model: Pieces, symbols: list[int], key: int, dropout: float) ->
         _, i, j, stop, made = heapq.heappop(heap)
         if not (alive[i] and alive[j] and nxt[i] == j and end[j] == stop and end[i] == j):
             continue
-        if model.merges.get(sym[i] * model.size + sym[j], (0, -1))[1] != made:
+        if known(sym[i] * width + sym[j], (0, -1))[1] != made:
             continue
         sym[i], end[i], alive[j], nxt[i] = made, stop, False, nxt[j]
         if nxt[i] < n:
@@ -130,10 +153,11 @@ def merge_agenda(model: Pieces, symbols: list[int], key: int, dropout: float) ->
     return [(sym[i], i) for i in range(n) if alive[i]]
 
 
-def merge_words(model: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float):
+def merge_words(model: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float, base: np.ndarray | None = None):
     """Pieces of many words: (id, start in its word, word), in order of words and places.
 
-    ``symbols`` are the character ids (-1: none) of consecutive words of ``sizes``.
+    ``symbols`` are the character ids (-1: none) of consecutive words of ``sizes``; ``base`` are the
+    places of parts in the words whose keys they have.
     """
     word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     start = (np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
@@ -155,7 +179,8 @@ def merge_words(model: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.
         at = np.minimum(np.searchsorted(model.keys, pair), len(model.keys) - 1)
         ok = model.keys[at] == pair
         f, at = f[ok], at[ok]
-        keep = ~_skipped(keys[word[f]], start[f], start[f + 1], end[f + 1], dropout)
+        shift = 0 if base is None else base[word[f]]
+        keep = ~_skipped(keys[word[f]], start[f] + shift, start[f + 1] + shift, end[f + 1] + shift, dropout)
         f, at = f[keep], at[keep]
         rank[f] = model.rank[at] << 24 | start[f]  # best score first, then leftmost
         made[f] = new_made[at]
@@ -229,18 +254,32 @@ def encode_texts(model: Pieces, texts: list[str], salts: np.ndarray, dropout: fl
         keys = (keys ^ (spot ^ (spot >> np.uint64(31))) * _MIX) * _MUL
     sym = model.char_id[codes]
     long = lengths > LONG
-    short = np.repeat(~long, lengths)
-    got, start, word = merge_words(model, sym[short], lengths[~long], keys[~long], dropout)
-    word = np.flatnonzero(~long)[word]
-    for w in np.flatnonzero(long).tolist():
-        alone = merge_agenda(model, sym[first[w] : first[w] + lengths[w]].tolist(), int(keys[w]), dropout)
-        got = np.r_[got, [a for a, _ in alone]]
-        start = np.r_[start, [b for _, b in alone]]
-        word = np.r_[word, np.full(len(alone), w)]
-    if long.any():
-        order = np.lexsort((start, word))
-        got, start, word = got[order], start[order], word[order]
-    flat, size = _spell(model, got, codes[first[word] + start], word, len(lengths))
+    if long.any():  # words and parts of long words, in order
+        at = np.flatnonzero(np.repeat(long, lengths))
+        inner = np.ones(len(at), dtype=bool)
+        inner[np.searchsorted(at, first[long])] = False  # beginnings of words
+        new = at[~inner | model.apart(sym[at - 1], sym[at])]
+        part = np.sort(np.concatenate([first[~long], new]))
+        of = np.searchsorted(first, part, side="right") - 1
+        size, base = np.diff(part, append=len(codes)), part - first[of]
+        big = size > LONG
+        small = np.repeat(~big, size)
+        got, start, which = merge_words(model, sym[small], size[~big], keys[of[~big]], dropout, base[~big])
+        del small
+        places, ids = [part[~big][which] + start], [got]
+        for w in np.flatnonzero(big).tolist():
+            alone = merge_agenda(model, sym[part[w] : part[w] + size[w]].tolist(), int(keys[of[w]]), dropout, int(base[w]))
+            ids.append(np.array([a for a, _ in alone], dtype=np.int64))
+            places.append(part[w] + np.array([b for _, b in alone], dtype=np.int64))
+        got, place = np.concatenate(ids), np.concatenate(places)
+        if big.any():
+            order = np.argsort(place)
+            got, place = got[order], place[order]
+        word = np.searchsorted(first, place, side="right") - 1
+    else:
+        got, start, word = merge_words(model, sym, lengths, keys, dropout)
+        place = first[word] + start
+    flat, size = _spell(model, got, codes[place], word, len(lengths))
     if inverse is not None:
         begin, size = (np.cumsum(size) - size)[inverse], size[inverse]
         flat = flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]

@@ -1,5 +1,7 @@
 """Merge-dropout: the library's ids without it, heap against rounds, and lossless decoding."""
 
+import time
+
 import numpy as np
 import pytest
 import sentencepiece
@@ -46,6 +48,69 @@ def test_heap_and_rounds_agree(dropout):
         assert mine == sentencepieces.merge_agenda(MODEL, sym[first[w] : first[w] + sizes[w]].tolist(), int(keys[w]), dropout)
 
 
+def slow_pieces(word, key, dropout):
+    """Pieces of one occurrence by the definition: all candidates are looked at anew after each merge."""
+    made = {r: p for p, r in MODEL_RANK.items()}
+    parts = [(c, k, k + 1) for k, c in enumerate(word.replace("▁", "\0").replace(" ", "▁"))]
+    while True:
+        best = None
+        for (a, i, j), (b, _, e) in zip(parts, parts[1:]):
+            rank = MODEL_RANK.get(a + b)
+            if rank is None or "\0" in a + b:
+                continue
+            h = (key ^ i << 42 ^ j << 21 ^ e) % 2**64
+            h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ h >> 27) * 0x9E3779B97F4A7C15 % 2**64
+            if (h ^ h >> 31) >= int(dropout * 2**64) and (best is None or (rank, i) < best):
+                best = rank, i
+        if best is None:
+            return [(p, i) for p, i, _ in parts]
+        at = next(k for k, p in enumerate(parts) if p[1] == best[1])
+        parts[at : at + 2] = [(made[best[0]], parts[at][1], parts[at + 1][2])]
+
+
+_N = LIBRARY.get_piece_size()
+_LISTED = [LIBRARY.id_to_piece(i) for i in range(_N) if not (LIBRARY.is_control(i) or LIBRARY.is_unknown(i) or LIBRARY.is_byte(i))]
+_SCORE = {p: LIBRARY.get_score(LIBRARY.piece_to_id(p)) for p in _LISTED}
+MODEL_RANK = {p: r for r, p in enumerate(sorted((p for p in _LISTED if len(p) > 1), key=lambda p: (-_SCORE[p], p)))}
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.4, 0.9])
+def test_each_occurrence_against_the_definition(dropout):
+    """Short words, long ones and long parts: every word of a text, at its place, by plain Python."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list(chars), n)) for chars, n in [("abeinrst", 9), ("aeinrst", 240), ("an漢字é", 150), ("漢字，。", 130), ("the", 99)] * 6]
+    text, salt, seed = " ".join(words), 77, 5
+    got = sentencepieces.encode_texts(MODEL, [text], np.array([salt], dtype=np.uint64), dropout, seed)[0].tolist()
+    want = []
+    m, mix, mod = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 2**64
+    for k, unit in enumerate(MODEL.units.findall(" " + text)):
+        power, key = 1, 0
+        for c in unit:  # the characters, then the seed, then the text and the word's place
+            power = power * m % mod
+            key = (key + (ord(c) + 1) * power) % mod
+        key ^= (seed * m + 0x632BE59BD9B4E019) % mod
+        spot = (salt + (k + 1) * m) % mod
+        key = (key ^ (spot ^ spot >> 31) * mix % mod) * m % mod
+        for piece, i in slow_pieces(unit, key if dropout else 0, dropout):
+            i = LIBRARY.piece_to_id(piece) if piece in _SCORE else None
+            want += [i] if i is not None else [int(MODEL.byte_id[b]) for b in piece.encode()]
+    assert got == want
+
+
+def test_long_words_take_time_in_proportion():
+    rng = np.random.default_rng(2)
+    for chars in ("漢字語文日本中国人大", "abcdefghijklmnopqrstuvwxyz0123456789+/"):
+        took = []
+        for n in (20_000, 200_000):
+            text = "".join(rng.choice(list(chars), n))
+            began = time.perf_counter()
+            ids = sentencepieces.encode_texts(MODEL, [text], np.zeros(1, np.uint64), 0.1, 1)[0]
+            took.append(time.perf_counter() - began)
+            assert spell(ids) == text
+        assert took[1] < 25 * took[0] + 0.5 and took[1] < 8
+
+
 def test_seeds_vary_and_repeat(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
     by_seed = [{r.doc_id: r.ids for r in sentencepieces.encode(docs, dropout=0.2, seed=s).collect()} for s in (1, 1, 2)]
