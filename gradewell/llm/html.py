@@ -3,9 +3,10 @@
 ``parse`` walks a page once, with an element stack, and gives its text blocks with the elements
 around each, and a hash of each element's subtree (tag, texts, children).  ``extract`` counts those
 hashes per host, those of paragraphs, headings and parts that go by a rule too, over pages of
-different content and deletes subtrees that recur on a share of the host's pages; beside that, what is a menu,
-form, advert, notice, comment and the like by its tag, role, class or id goes.
-If a page has an article (else a main part), only what lies inside it is text.
+different content and deletes subtrees that recur on a share of the host's pages (a larger one inside
+an article or main part, where a sentence may be common without being a template); beside that, what
+is a menu, form, advert, notice, comment and the like by its tag, role, class or id goes.  If a page
+has an article (else a main part), only what lies inside it is text.
 """
 
 from __future__ import annotations
@@ -43,12 +44,12 @@ SCOPE = frozenset("table ul ol dl menu html body article main section div td th"
 
 
 class Page:
-    """Blocks [(text, open elements)] and per element its hash (0: no candidate)."""
+    """Blocks [(text, open elements)], per element its hash (0: no candidate) and whether it is inside an article or main part."""
 
-    __slots__ = ("blocks", "hashes")
+    __slots__ = ("blocks", "hashes", "inner")
 
     def __init__(self):
-        self.blocks, self.hashes = [], []
+        self.blocks, self.hashes, self.inner = [], [], []
 
 
 def _junk(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
@@ -80,8 +81,8 @@ def _junk(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     return bool(words & JUNK) or "header" in words and not in_article and "site" in words, False
 
 
-def parse(html: str, hashing: bool = True) -> Page:
-    """Parse one page; ``hashing`` fills the subtree hashes.
+def parse(html: str, hashing: bool = True, rules: bool = True) -> Page:
+    """Parse one page; ``hashing`` fills the subtree hashes; without ``rules`` nothing goes by tag, role, class or id.
 
     Broken markup is taken as it comes: unclosed paragraphs and list items end at the next one, an
     end tag without a start is ignored, a ``<`` that starts no tag is text.
@@ -91,7 +92,7 @@ def parse(html: str, hashing: bool = True) -> Page:
     page, stack = Page(), []  # entries: [tag, index, junk, final, parts, had_text, holds_main]
     buffer: list[str] = []
     articles = mains = hidden = 0  # open ones; hidden: open inline elements that go by their rules
-    blocks, hashes = page.blocks, page.hashes
+    blocks, hashes, inner = page.blocks, page.hashes, page.inner
     found_article = found_main = False
     digest = xxhash.xxh64_intdigest
 
@@ -108,6 +109,7 @@ def parse(html: str, hashing: bool = True) -> Page:
                 if hashing and stack and stack[-1][0] in WRAPS:  # no block of its own: the run of text is one
                     around += (len(hashes),)
                     hashes.append(signed(digest(f"#text\x00{text}")))
+                    inner.append(articles > 0 or mains > 0)
                 blocks.append((text, around, articles > 0, mains > 0, junk))
                 if hashing and stack:
                     stack[-1][4].append(text)
@@ -188,7 +190,7 @@ def parse(html: str, hashing: bool = True) -> Page:
             if tag == "body":
                 while stack and stack[-1][0] == "head":
                     close()
-        junk, final = _junk(tag, attrs, articles > 0)
+        junk, final = _junk(tag, attrs, articles > 0) if rules else (False, False)
         if tag in ("article", "main") and not junk and not any(e[3] and e[2] for e in stack):
             hidden = 0
             for e in stack:
@@ -203,25 +205,25 @@ def parse(html: str, hashing: bool = True) -> Page:
             hidden += 1
         stack.append([tag, len(hashes), junk, final, [], False, False])
         hashes.append(0)
+        inner.append(articles > 0 or mains > 0)
     flush()
     while stack:
         close()
-    if found_article:
+    if found_article and rules:
         page.blocks = [b for b in blocks if b[2] and not b[4]]
-    elif found_main:
+    elif found_main and rules:
         page.blocks = [b for b in blocks if b[3] and not b[4]]
     else:
         page.blocks = [b for b in blocks if not b[4]]
     return page
 
 
-def main_text(html: str | None, removed=()) -> str:
-    """Text of a page without the subtrees whose hashes are in ``removed``."""
+def main_text(html: str | None, removed: dict[int, bool] | None = None, rules: bool = True) -> str:
+    """Text of a page without the subtrees whose hashes are in ``removed``: true for everywhere, false for outside articles and main parts."""
     if not html:
         return ""
-    removed = set(removed or ())
-    page = parse(html, hashing=bool(removed))
-    gone = {k for k, h in enumerate(page.hashes) if h and h in removed} if removed else set()
+    page = parse(html, bool(removed), rules)
+    gone = {k for k, h in enumerate(page.hashes) if h and h in removed and (removed[h] or not page.inner[k])} if removed else set()
     return "\n".join(b[0] for b in page.blocks if not gone.intersection(b[1]))
 
 
@@ -230,13 +232,13 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def template_hashes(pages: DataFrame, min_pages: int = 4, share: float = 0.1, url_col: str = "url", html_col: str = "html", key: str = "_key"):
-    """Subtrees around text that would stay ``(key, host, kept)``, and the recurring ``(host, hash)``.
+def template_hashes(pages: DataFrame, min_pages: int = 4, share: float = 0.1, inner_share: float = 0.5, url_col: str = "url", html_col: str = "html", key: str = "_key", rules: bool = True):
+    """Subtrees around text that would stay ``(key, host, kept)``, and the recurring ``(host, hash, everywhere)``.
 
     A subtree recurs if at least ``min_pages`` different pages of its host hold it, in what would
-    stay or not, and at least ``share`` of the host's different pages do.  Pages differ if the texts
-    that would stay do: many copies of one page count as one.  Pages without a host or markup have no
-    candidates.
+    stay or not, and at least ``share`` of the host's different pages do; ``everywhere`` if at least
+    ``inner_share`` of them do.  Pages differ if the texts that would stay do: many copies of one page
+    count as one.  Pages without a host or markup have no candidates.
     """
 
     def run(batches):
@@ -248,45 +250,50 @@ def template_hashes(pages: DataFrame, min_pages: int = 4, share: float = 0.1, ur
                 host = host_of(url)
                 if not html or not host:
                     continue
-                page = parse(html)
+                page = parse(html, rules=rules)
                 content = xxhash.xxh64_intdigest("\n".join(b[0] for b in page.blocks) or html) >> 1
                 kept = {page.hashes[i] for b in page.blocks for i in b[1]} - {0}
                 rows.append((k, host, content, list({0, *page.hashes}), list(kept)))  # 0 stands for the page itself
             cols = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "host", "content", "hashes", "kept"])
 
-    found = cut(pages.select(F.col(key), F.col(url_col), F.col(html_col)).mapInArrow(run, "key long, host string, content long, hashes array<long>, kept array<long>"))
+    found = cut(pages.select(F.col(key).cast("string"), F.col(url_col), F.col(html_col)).mapInArrow(run, "key string, host string, content long, hashes array<long>, kept array<long>"))
     counts = found.select("host", "content", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").count()
     often = cut(counts.where(F.col("count") >= min_pages))
     total = often.where("hash = 0").select("host", F.col("count").alias("total"))
     recurring = often.where("hash != 0").join(total, "host").where(F.col("count") >= share * F.col("total"))
-    return found.select("key", "host", "kept"), cut(recurring.select("host", "hash"))
+    return found.select("key", "host", "kept"), cut(recurring.select("host", "hash", (F.col("count") >= inner_share * F.col("total")).alias("everywhere")))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4, share: float = 0.1, most: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4, share: float = 0.1, inner_share: float = 0.5, most: int = 20_000, rules: bool = True) -> DataFrame:
     """``(id_col, url_col, text)`` of each page: its main text, blocks joined by one line feed.
 
     Character references are decoded once, white space inside a block becomes one space, and empty
     blocks go.  Null or empty html gives an empty text; a null url only means that no template is
     known; repeated rows and null ids each give a row.  Up to ``most`` recurring subtrees go to every
-    task; beyond that they are joined by key, with the same result.
+    task; beyond that they are joined by key (salted, since one subtree may be on a third of all
+    pages), with the same result.  Without ``rules`` only recurring subtrees, scripts and styles go.
     """
-    slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(id_col, url_col, html_col).alias("_key"))
-    found, recurring = template_hashes(slim, min_pages, share, "url", "html")
+    row = (id_col, url_col, html_col)
+    slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.concat_ws("-", F.hex(F.xxhash64(*row)), F.hex(F.xxhash64(F.lit(1), *row))).alias("_key"))
+    found, recurring = template_hashes(slim, min_pages, share, inner_share, "url", "html", rules=rules)
     few, table = recurring.limit(most + 1).collect(), {}
     if len(few) <= most:
         for r in few:
-            table.setdefault(r["host"], []).append(r["hash"])
-        work = slim.select("id", "url", "html", F.lit(None).cast("array<long>").alias("gone"))
+            table.setdefault(r["host"], {})[r["hash"]] = r["everywhere"]
+        work = slim.select("id", "url", "html", F.lit(None).cast("map<bigint,boolean>").alias("gone"))
     else:
-        gone = cut(found.select("key", "host", F.explode("kept").alias("hash")).join(recurring, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("gone")))
+        salts = F.explode(F.array(*map(F.lit, range(16)))).alias("salt")
+        mine = found.select("key", "host", F.explode("kept").alias("hash"), F.pmod(F.xxhash64("key"), F.lit(16)).cast("int").alias("salt"))
+        hits = mine.join(recurring.select("*", salts), ["host", "hash", "salt"]).select("key", "hash", "everywhere").distinct()
+        gone = cut(hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("hash", "everywhere"))).alias("gone")))  # at most one page's subtrees
         work = slim.join(gone, slim["_key"] == gone["key"], "left").select("id", "url", "html", "gone")
     kind = work.schema[0].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h, g or table.get(host_of(u))) for u, h, g in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+            texts = [main_text(h, dict(g) if g else table.get(host_of(u)), rules) for u, h, g in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     out = work.mapInArrow(run, f"id {kind}, url string, text string")

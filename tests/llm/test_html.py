@@ -1,5 +1,8 @@
 """Main text of pages: rules, broken markup and site templates."""
 
+import random
+from html.parser import HTMLParser
+
 import pytest
 
 from gradewell.llm import html, queries
@@ -82,6 +85,93 @@ def test_share_of_a_hosts_pages(spark):
     assert got[5000] == "Our site\nOne story"  # one page, whatever its titles
 
 
+def test_common_sentences_of_articles_stay(spark):
+    """Inside articles half of a host's pages must share a block, outside a tenth."""
+    said, notice = "<p>Said by some</p>", "<p>Write to us</p>"
+    page = lambda k: (k, f"https://a.example/{k}", f"<div>Top</div><article><p>Story {k}</p>{said if k < 12 else ''}{notice if k < 20 else ''}</article>")
+    pages = spark.createDataFrame([page(k) for k in range(40)], "page_id long, url string, html string")
+    for most in (20_000, 0):
+        got = {r.page_id: r.text for r in html.extract(pages, most=most).collect()}
+        assert (got[3], got[15], got[30]) == ("Story 3\nSaid by some", "Story 15", "Story 30")
+
+
+class Tree(HTMLParser):
+    """Every element of a well-formed page as (tag, parts): a plain tree."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.raw = [["", []]], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title", "noscript"):
+            self.raw += 1
+        elif tag not in html.VOID:
+            self.stack.append([tag, []])
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title", "noscript"):
+            self.raw -= 1
+        elif tag not in html.VOID:
+            done = self.stack.pop()
+            assert done[0] == tag
+            self.stack[-1][1].append((done[0], tuple(done[1])))
+
+    def handle_data(self, data):
+        if not self.raw and data.split():
+            self.stack[-1][1].append(" ".join(data.split()))
+
+
+def subtrees(node, out):
+    """Candidates: block elements with text that hold no article, main or body; says whether there is text, and a wrapper."""
+    tag, parts = node
+    text = wrap = False
+    for p in parts:
+        t, w = (True, False) if isinstance(p, str) else subtrees(p, out)
+        text, wrap = text or t, wrap or w
+    if text and not wrap and tag in html.BLOCK and tag not in html.WRAPS:
+        out.add(node)
+    return text, wrap or tag in html.WRAPS
+
+
+def test_recurring_subtrees_against_plain_counts(spark):
+    """Lists and paragraphs that a quarter of a host's pages share, counted over plain trees."""
+    rng = random.Random(4)
+    menus = [f"<nav><ul>{''.join(f'<li><a href=x>{h} {k}</a></li>' for k in range(4))}</ul></nav>" for h in range(5)]
+    foots = [f"<div class=x><p>Foot {k}</p><section>Part <b>{k}</b></section></div>" for k in range(6)]
+    rows = []
+    for i in range(300):
+        host = rng.randrange(5)
+        own = "".join(f"<p>Page {i} part {j}</p>" for j in range(rng.randrange(1, 4)))
+        rows.append((i, f"https://h{host}.example/{i}", f"<html><body>{menus[host] if rng.random() < 0.6 else ''}<article><h1>Title {i}</h1>{own}{rng.choice(foots)}</article>{rng.choice(foots)}</body></html>"))
+    want, pages_of, seen = {}, {}, {}
+    for i, url, page in rows:
+        tree = Tree()
+        tree.feed(page)
+        found = set()
+        for n in tree.stack[0][1]:
+            subtrees(n, found)
+        host = html.host_of(url)
+        pages_of[host] = pages_of.get(host, 0) + 1
+        for f in found:
+            seen[host, f] = seen.get((host, f), 0) + 1
+    for (host, f), n in seen.items():
+        if n >= 4 and n >= 0.1 * pages_of[host]:
+            want.setdefault(host, []).append(n >= 0.5 * pages_of[host])
+    table = spark.createDataFrame(rows, "_key long, url string, html string")
+    got = {}
+    for r in html.template_hashes(table)[1].collect():
+        got.setdefault(r.host, []).append(r.everywhere)
+    assert {h: sorted(v) for h, v in got.items()} == {h: sorted(v) for h, v in want.items()} and sum(map(len, want.values())) > 60
+
+
+def test_templates_alone(spark):
+    """Without the rules on tags and names, what recurs still goes, and what differs from page to page stays."""
+    page = lambda k: (k, f"https://a.example/{k}", f"<body><nav><ul><li>Home<li>News</ul></nav><nav><p>Own menu {k}</p></nav><article><p>Story {k}</p></article><footer>All rights</footer></body>")
+    pages = spark.createDataFrame([page(k) for k in range(8)], "page_id long, url string, html string")
+    assert {r.text for r in html.extract(pages, rules=False).collect()} == {f"Own menu {k}\nStory {k}" for k in range(8)}
+    assert {r.text for r in html.extract(pages).collect()} == {f"Story {k}" for k in range(8)}
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert html.main_text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
