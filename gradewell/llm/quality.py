@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import texts_of
 from .toxicity import held_out
 
 SHORT = 128  # bytes of a text whose difference counts half
@@ -98,46 +99,50 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
     return w / scale
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, label_col: str = "quality", max_texts: int = 2500, max_calibration: int = 6000, max_bytes: int = 1 << 18, size: int = 112_640, budget: int = 6_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, label_col: str = "quality", max_texts: int = 2500, max_calibration: int = 6000, max_bytes: int = 1 << 18, size: int = 112_640, budget: int = 6_000_000, read_bytes: int = 48 << 20) -> Model:
     """Fit on bounded samples of labelled rows outside the held-out fold, in hash order of their ids.
 
-    At most ``max_texts`` texts of each label, of at most ``max_bytes`` each and ``budget`` bytes in
-    all, build the dictionaries (copies once); at most ``max_calibration`` other rows calibrate.  With
-    texts of one label only, every score is the share of good labels.  Null ids and labels teach
+    At most ``max_texts`` texts of each label, of at most ``max_bytes`` each and ``read_bytes`` in all,
+    build the dictionaries from ``budget`` bytes of each (copies once); at most ``max_calibration``
+    other rows calibrate.  With texts of one label only, every score is the share of good labels.  Ids
+    may have any type; those of the labels are read as the documents'.  Null ids and labels teach
     nothing; of several labels of an id, the lowest counts.
     """
-    seen = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out("doc_id", folds, fold)).groupBy("doc_id").agg(F.min(label_col).alias("y"))
+    kind = docs.schema["doc_id"].dataType
+    labels = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    seen = labels.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out("doc_id", folds, fold)).groupBy("doc_id").agg(F.min("y").alias("y"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
     rank = F.xxhash64("doc_id")
-    spark = docs.sparkSession
 
     def sample(where, n):
-        return [(r[0], r[1]) for r in seen.where(where).select("doc_id", "y").orderBy(rank, "doc_id").limit(n).collect()]
+        return {r[0]: int(r[1] == 1) for r in seen.where(where).select("doc_id", "y").orderBy(rank, "doc_id").limit(n).collect()}
 
     good, bad, other = sample((share == 0) & (F.col("y") == 1), max_texts), sample((share == 0) & (F.col("y") != 1), max_texts), sample(share == 1, max_calibration)
-    rows = [(int(i), 1) for i, _ in good] + [(int(i), 0) for i, _ in bad]
-
-    def texts_of(chosen, schema):
-        ids = spark.createDataFrame(chosen, schema)  # bounded by the limits above
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).join(F.broadcast(ids), "doc_id").where(F.octet_length("raw").between(1, max_bytes))
+    label = good | bad
 
     model = Model(b"", b"")
-    if rows:
-        got = sorted({(r.y, bytes(r.raw)): r.doc_id for r in texts_of(rows, "doc_id long, y int").collect()}.items(), key=lambda kv: (kv[1], kv[0]))
-        kinds = [[raw for (y, raw), _ in got if y == want] for want in (1, 0)]
+    if label:
+        by_turn = sorted([(k / len(x), i) for x in (good, bad) for k, i in enumerate(x)], key=lambda t: t[0])
+        got = texts_of(docs, [i for _, i in by_turn], max_bytes, read_bytes).collect()  # at most read_bytes
+        first = {}
+        for r in got:
+            key = (label[r.doc_id], bytes(r.raw))
+            first[key] = min(first.get(key, r.doc_id), r.doc_id)
+        kinds = [[raw for (y, raw), _ in sorted(first.items(), key=lambda kv: (kv[1], kv[0])) if y == want] for want in (1, 0)]
         if all(kinds):
             model = Model(*(build_dictionary(k, size, budget) for k in kinds))
     if not other:
-        other = good + bad
+        other = label
     if other:
         fresh = Model(model.good, model.bad)
 
         def run(batches):
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(fresh.differences(raw := batch.column(0).to_pylist())), pa.array([len(t) for t in raw], pa.int64())], names=["y", "d", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fresh.differences(raw := batch.column(1).to_pylist())), pa.array([len(t) for t in raw], pa.int64())], names=["doc_id", "d", "n"])
 
-        got = texts_of([(int(i), int(y == 1)) for i, y in other], "doc_id long, y int").select("raw", "y").mapInArrow(run, "y int, d double, n long").toArrow()
-        d, n, y = (got.column(c).to_numpy().astype(float) for c in ("d", "n", "y"))
+        got = texts_of(docs, list(other), max_bytes, 1 << 28).mapInArrow(run, f"doc_id {kind.simpleString()}, d double, n long").toArrow()  # three numbers a row
+        y = np.array([other[i] for i in got.column("doc_id").to_pylist()], dtype=float)
+        d, n = (got.column(c).to_numpy().astype(float) for c in ("d", "n"))
         order = np.lexsort((n, y, d))  # the same sums whatever order the rows came in
         model.weights = fit_logistic(evidence(d[order], n[order]), y[order])
     return model
@@ -156,7 +161,11 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, score)`` of each row's whole text, 0 to 1; null texts score as empty ones."""
+    """``(id_col, score)`` of each row's whole text, 0 to 1; null texts score as empty ones.
+
+    Rows keep their count, whatever repeats; ids may be null and of any type; texts of any length are
+    compressed a piece at a time; no other column is read.
+    """
 
     def run(batches):
         for batch in batches:

@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import first_ids, texts_of
+
 BITS = 20
 LENGTHS = (3, 4, 5, 6)
+PART = 1 << 22  # characters of a text whose words are held at once
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _ALNUM: list[np.ndarray] = []
@@ -91,6 +94,21 @@ class Model:
     def __init__(self, ids: np.ndarray, weights: np.ndarray, bias: float):
         self.ids, self.weights, self.bias = ids.astype(np.int32), weights.astype(np.float32), float(bias)
 
+    def long_score(self, text: str) -> float:
+        """Score of one text of any length: a part at a time, cut between words."""
+        text = text.lower()
+        hits: set[int] = set()
+        at = 0
+        while at < len(text):
+            end = at + PART
+            while end < len(text) and text[end].isalnum():
+                end += 1
+            _, feats, _ = words_of([text[at:end]])
+            hits.update(np.intersect1d(feats, self.ids).tolist())
+            at = end
+        weight = dict(zip(self.ids.tolist(), self.weights.tolist()))
+        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(weight[i] for i in sorted(hits)), -50, 50))))
+
     def scores(self, texts: list[str]) -> np.ndarray:
         table = np.zeros(1 << BITS, dtype=np.float32)
         table[self.ids] = self.weights
@@ -164,38 +182,41 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps:
     return Model(good[keep], w[:-1][keep], w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, label_col: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, max_bytes: int = 1 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, label_col: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, max_bytes: int = 1 << 20, budget: int = 128 << 20) -> Model:
     """Fit on a bounded sample of rows outside the held-out fold.
 
     At most ``max_positive`` labelled toxic texts and ``max_unlabelled`` other texts (by the hash
-    order of their ids) of at most ``max_bytes`` each are read for the fit, copies once.  The prior
-    is the share of toxic labels outside the held-out fold.  Null ids and labels teach nothing; with
-    no toxic label the model finds nothing toxic.
+    order of their ids) of at most ``max_bytes`` each and ``budget`` bytes in all are read for the
+    fit, copies once.  The prior is the share of toxic labels outside the held-out fold.  Ids may have
+    any type; those of the labels are read as the documents'.  Null ids and labels teach nothing;
+    with no toxic label the model finds nothing toxic.
     """
+    kind = docs.schema["doc_id"].dataType
+    labels = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), label_col)
     seen = labels.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
     n, toxic = seen.agg(F.count(label_col), F.coalesce(F.sum((F.col(label_col) == 1).cast("int")), F.lit(0))).first()
-    rank = F.xxhash64("doc_id")
-    pos = [r[0] for r in seen.where(F.col(label_col) == 1).select("doc_id").distinct().orderBy(rank, "doc_id").limit(max_positive).collect()]
-    every = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold)).select("doc_id")
-    unl = [r[0] for r in every.distinct().orderBy(rank, "doc_id").limit(max_unlabelled).collect()]
+    pos = first_ids(seen.where(F.col(label_col) == 1).select("doc_id"), max_positive)
+    unl = first_ids(docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold)).select("doc_id"), max_unlabelled)
     if not pos or not unl:
         return Model(np.zeros(0, np.int32), np.zeros(0), -8.0)
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted({*pos, *unl})], "doc_id long")  # at most max_positive + max_unlabelled ids
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    # confirmed and unlabelled texts in turn, so that a budget that runs out leaves some of both
+    by_turn = sorted([(k / len(pos), i) for k, i in enumerate(pos)] + [(k / len(unl), i) for k, i in enumerate(unl)], key=lambda t: t[0])
+    text = texts_of(docs, list(dict.fromkeys(i for _, i in by_turn)), max_bytes, budget, least=0).select("doc_id", F.col("raw").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             feats, low = _per_text([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, pa.list_(pa.int32())), pa.array(low[:, 0]), pa.array(low[:, 1])], names=["doc_id", "feats", "s1", "s2"])
 
-    got = text.mapInArrow(run, "doc_id long, feats array<int>, s1 long, s2 long").toArrow().sort_by([("doc_id", "ascending"), ("s1", "ascending"), ("s2", "ascending")])
-    ids = got.column("doc_id").to_numpy()
+    got = text.mapInArrow(run, f"doc_id {kind.simpleString()}, feats array<int>, s1 long, s2 long").toArrow().sort_by([("doc_id", "ascending"), ("s1", "ascending"), ("s2", "ascending")])
+    ids = got.column("doc_id").to_pylist()
     flat, ends = got.column("feats").combine_chunks(), None
     flat, ends = flat.flatten().to_numpy(), flat.offsets.to_numpy()
     sketches = np.stack([got.column("s1").to_numpy(), got.column("s2").to_numpy()], axis=1)
 
     def rows(chosen):
-        at = np.flatnonzero(np.isin(ids, chosen))
+        mine = set(chosen)
+        at = np.array([i for i, d in enumerate(ids) if d in mine], dtype=np.int64)
         at = at[_distinct(at.tolist(), sketches[at])]
         return [flat[ends[i] : ends[i + 1]] for i in at]
 
@@ -203,14 +224,18 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, lab
 
 
 def text_scores(model: Model, texts: list[str]) -> np.ndarray:
-    """Scores of texts, about 4 million characters at a time."""
+    """Scores of texts, about ``PART`` characters at a time."""
     out = np.zeros(len(texts))
-    size, first = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > 1 << 22 or i == len(texts) - 1:
-            out[first : i + 1] = model.scores(texts[first : i + 1])
-            first, size = i + 1, 0
+    group, size = [], 0
+    for i, t in enumerate([*texts, None]):
+        if t is None or size + len(t) > PART:
+            out[group] = model.scores([texts[k] for k in group]) if group else 0
+            group, size = [], 0
+        if t is not None and len(t) > PART:
+            out[i] = model.long_score(t)
+        elif t is not None:
+            group.append(i)
+            size += len(t)
     return out
 
 
@@ -227,7 +252,11 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, score)`` of each row's whole text, 0 to 1; null texts score as empty ones."""
+    """``(id_col, score)`` of each row's whole text, 0 to 1; null texts score as empty ones.
+
+    Rows keep their count, whatever repeats; ids may be null and of any type; very long texts are
+    scored in parts, with the same score as in one; no other column is read.
+    """
 
     def run(batches):
         for batch in batches:
