@@ -6,8 +6,8 @@ of 256 codewords each.  A query looks into the cells whose centroid is near enou
 by tables of its inner products with all codewords (asymmetric distances), and all that may be among
 the best, by the measured error of the codes, are scored exactly on the original vectors.
 
-Two figures say what is near enough.  A query's floor is its k-th best score in a bounded sample of
-rows, which the k-th best of all rows can't be below.  How far a centroid may lie under that floor is
+Two figures say what is near enough.  A query's floor is its k-th best score in a sample of a quarter
+of the rows, ``guide_rows`` at most, which the k-th best of all rows can't be below.  How far a centroid may lie under that floor is
 calibrated: a bounded set of queries is answered by brute force over all rows, and the distance that
 covers the wanted share of their true neighbours is taken.
 
@@ -250,7 +250,8 @@ def search(
     cells = int(min(max_cells, max(1, n // 2), max(1, len(sample) // (8 if n > sample_rows else 2))))
     index = fit(sample, cells, m)
     margin = rerank * code_error(index, sample)
-    guide, guide_ids = sample[:guide_rows], sample_ids[:guide_rows]
+    few = min(guide_rows, n // 4)
+    guide, guide_ids = sample[:few], sample_ids[:few]
 
     def encode(batches):
         for batch in batches:
@@ -298,32 +299,33 @@ def search(
     groups = int(-(-n // per))
 
     def probe(batches):
-        for batch in batches:
-            ids, x = batch.column(0).to_numpy(zero_copy_only=False), pad(_vectors(batch.column(1), dims))
-            norm = np.linalg.norm(x, axis=1).astype(np.float64)
-            low = floors(x, ids, guide, guide_ids, k)
-            score = index.nearness(x).astype(np.float64)
-            score[:, sizes == 0] = -np.inf
-            order = np.argsort(-score, axis=1, kind="stable")
-            enough = (np.cumsum(sizes[order], axis=1) < min(n, 8 * (k + 1))).sum(axis=1)  # the last cell of those that hold enough rows
-            at_least = score[np.arange(len(x)), order[np.arange(len(x)), np.minimum(enough, int((sizes > 0).sum()) - 1)]]
-            edge = np.minimum(low + gap * norm, at_least) - 1e-4 * (norm + np.abs(at_least))
-            owner, group = [], []
-            for i in range(len(x)):
-                hit = np.flatnonzero(score[i] >= edge[i] - 1e-5 * (norm[i] + abs(edge[i])))
-                open_ = np.zeros(groups + 1, dtype=np.int64)
-                np.add.at(open_, lo_group[hit], 1)
-                np.add.at(open_, hi_group[hit] + 1, -1)
-                g = np.flatnonzero(np.cumsum(open_[:-1]) > 0)
-                owner.append(np.full(len(g), i))
-                group.append(g)
-            owner = np.concatenate(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group)), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(edge[owner]), pa.array(low[owner])], names=["g", "id", "v", "edge", "low"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                ids, x = batch.column(0).to_numpy(zero_copy_only=False), pad(_vectors(batch.column(1), dims))
+                norm = np.linalg.norm(x, axis=1).astype(np.float64)
+                low = floors(x, ids, guide, guide_ids, k)
+                score = index.nearness(x)
+                score[:, sizes == 0] = -np.inf
+                edge = low + gap * norm
+                for i in np.flatnonzero((score >= edge[:, None]) @ sizes < min(n, 8 * (k + 1))):  # down to the last cell of those that hold enough rows
+                    order = np.argsort(-score[i], kind="stable")[: int((sizes > 0).sum())]
+                    edge[i] = score[i, order[min(len(order) - 1, int((np.cumsum(sizes[order]) < min(n, 8 * (k + 1))).sum()))]]
+                edge -= 1e-4 * (norm + np.where(np.isfinite(edge), np.abs(edge), 0))
+                owner, group = [], []
+                for i in range(len(x)):
+                    hit = np.flatnonzero(score[i] >= edge[i] - 1e-5 * norm[i])
+                    step = np.bincount(lo_group[hit], minlength=groups + 1) - np.bincount(hi_group[hit] + 1, minlength=groups + 1)
+                    g = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+                    owner.append(np.full(len(g), i))
+                    group.append(g)
+                owner = np.concatenate(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group)), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(edge[owner]), pa.array(low[owner])], names=["g", "id", "v", "edge", "low"])
 
     places = spark.createDataFrame([(int(c), int(start[c]), int(sizes[c])) for c in np.flatnonzero(sizes)], "cell int, start long, size long")  # at most max_cells rows
     spot = F.col("start") + F.pmod(F.xxhash64("id", F.lit(5)), F.col("size"))
     candidates = coded.join(F.broadcast(places), "cell").select(F.floor(spot / per).cast("long").alias("g"), F.lit(False).alias("asks"), "id", "v", "cell", "code", F.lit(None).cast("double").alias("edge"), F.lit(None).cast("double").alias("low"))
-    queries = coded.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    queries = coded.where("q").groupBy("id").agg(F.min("v").alias("v")).repartition(parts(spark, asking, 5000), "id")
     asked = queries.mapInArrow(probe, f"g long, id {kind}, v {listed}, edge double, low double")
     asked = asked.select("g", F.lit(True).alias("asks"), "id", "v", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("code"), "edge", "low")
 
@@ -373,6 +375,8 @@ def search(
                     may = np.flatnonzero((rough >= (low - margin * norm)[q]) & (ids[row] != qid[q]))
                     q, row = q[may], row[may]
                     score = _exact(v[row], qv[q])
+                    over = np.flatnonzero(score >= low[q])  # the k-th best of all rows is no lower
+                    q, row, score = q[over], row[over], score[over]
                     best = _first_k(q, score, ids[row], k)
                     yield pa.RecordBatch.from_arrays([pa.array(qid[q[best]]), pa.array(ids[row[best]]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
                 at = end
