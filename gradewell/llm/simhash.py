@@ -296,21 +296,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, hot_rows: int = 50_000) -> DataFrame:
     """``(id_col, fp, component)`` for every row of ``docs``.
 
     Rows are linked if their fingerprints differ in at most ``budget`` bits; ``component`` is the
     smallest id reachable over links (a document reaches itself).  Null ids are ignored in that
     minimum, and a component without any other id has a null one.  Null and wordless texts share the
-    fingerprint 0 and are linked like any other.  An empty table gives an empty result.
+    fingerprint 0 and are linked like any other.  An empty table gives an empty result.  Fingerprints
+    of over ``hot_rows`` rows are joined by broadcast (beyond 100,000 of those, by key).
     """
     own = cut(fingerprints(docs, id_col, text_col, shingle))
-    low = cut(own.groupBy("fp").agg(F.min(id_col).alias("low")))
+    low = cut(own.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")))
     found = cut(components(hamming_links(low.select("fp"), budget)))
-    roots = cut(found.join(low.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("low").alias("best")))
+    roots = cut(found.join(low.select(F.col("fp").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("best")))
     known = cut(found.join(roots, "root").select(F.col("node").alias("fp"), "best"))
-    by_fp = cut(low.join(known, "fp", "left").select("fp", F.when(F.col("best").isNotNull(), F.col("best")).otherwise(F.col("low")).alias("component")))
-    return own.join(by_fp, "fp").select(F.col(id_col), "fp", "component")
+    by_fp = cut(low.join(known, "fp", "left").select("fp", "n", F.when(F.col("best").isNotNull(), F.col("best")).otherwise(F.col("low")).alias("component")))
+    # a fingerprint of very many rows would be one task of the join: those are few (at most rows / hot_rows) and go to every task
+    hot = by_fp.where(F.col("n") > hot_rows).drop("n")
+    if 0 < hot.count() <= 100_000:
+        rest = own.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(by_fp.where(F.col("n") <= hot_rows).drop("n"), "fp")
+        return rest.select(F.col(id_col), "fp", "component").unionByName(own.join(F.broadcast(hot), "fp").select(F.col(id_col), "fp", "component"))
+    return own.join(by_fp.drop("n"), "fp").select(F.col(id_col), "fp", "component")
 
 
 def hex_fingerprint(col: str = "fp"):

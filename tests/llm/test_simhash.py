@@ -66,3 +66,13 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (1, 0)]
     found = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_hot_fingerprints(spark):
+    """Half the rows without words, a sixth copies: joined by broadcast and by key alike."""
+    rows = [(i, None if i % 2 else "the same words again" if i % 3 == 0 else f"own words {i} " * 4) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, r.fp, r.component) for r in simhash.near_duplicates(docs).collect())
+    assert sorted((r.doc_id, r.fp, r.component) for r in simhash.near_duplicates(docs, hot_rows=100).collect()) == want
+    comp = slow_components(np.array([slow_fingerprint(t) for _, t in rows], dtype=np.uint64))
+    assert [c for _, _, c in want] == comp.tolist()
