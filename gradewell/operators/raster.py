@@ -164,14 +164,14 @@ def find_tape(rgb: np.ndarray) -> dict:
     return {"state": "ambiguous" if rival else "ok", "angle": found[0][2], "ratio": found[0][1], "pixels": found[0][3]}
 
 
-def leaf_mask(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
+def leaf_mask(rgb: np.ndarray, lab: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, float]:
     """(mask, mask before filling, candidates, share of the candidates' area left out).
 
     A warm seed without tape; of its parts the one with the largest area times fill, a dark long strip
     (floor) only if no other is comparable; then grown into barely warm pixels that touch it, where
     'barely' lies just above the background of the picture itself; then filled.
     """
-    lab = K.to_lab(rgb)
+    lab = K.to_lab(rgb) if lab is None else lab
     light, a, b = np.moveaxis(lab, 2, 0)
     plain = ~tape_like(lab)
     warm = (b > LEAF_RATIO * a) & (a < LEAF_A) & (light > LEAF_L) & plain
@@ -198,17 +198,24 @@ def leaf_mask(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
     return K.filled(raw), raw, len(found), rest
 
 
-def reference_colours(lab: np.ndarray, mask: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Median colour of the background beside the leaf, of the leaf's inside, and the leaf's spread in b."""
-    ring = K.dilate(mask, 3 * r) & ~K.dilate(mask, r)
-    if ring.sum() < 200:
-        ring = ~mask
-    inside = K.erode(mask, r)
-    if inside.sum() < 200:
-        inside = mask
-    off = np.median(lab[ring], axis=0) if ring.any() else np.zeros(3)
-    own = np.median(lab[inside], axis=0)
-    return off, own, float(lab[..., 2][inside].std())
+def reference_colours(lab: np.ndarray, edge: np.ndarray, r: int) -> dict:
+    """Typical colours by signed distance from the outline (negative inside): ``off`` from r to 3 r outside it, ``own`` deeper than r inside.
+
+    ``spread`` is the deviation of b over the latter.  A band of under 200 pixels gives way to all of its side.
+    """
+    inside = edge < 0
+
+    def typical(band, side):
+        chosen = band if np.count_nonzero(band) >= 200 else side
+        return lab[chosen]
+
+    off, own = typical((edge > r) & (edge <= 3 * r), ~inside), typical(edge < -r, inside)
+    return {"off": np.median(off, axis=0) if len(off) else np.zeros(3), "own": np.median(own, axis=0), "spread": float(np.std(own[:, 2]))}
+
+
+def signed_edge(mask: np.ndarray) -> np.ndarray:
+    """Distance from the mask outside it, and less the distance from what is outside it inside."""
+    return np.where(mask, -K.distance_to(~mask), K.distance_to(mask))
 
 
 def colour_distance(lab: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -219,14 +226,14 @@ def colour_distance(lab: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 def keep_thick(mask: np.ndarray, thin: float = THIN, left: int = THIN_LEFT) -> np.ndarray:
     """Parts of which an erosion leaves something: threads go."""
-    core = K.distance_to(~mask) > thin
+    core = K.erode(mask, thin)
     lab = K.label8(mask)
     count = np.bincount(lab[core], minlength=lab.max() + 1)
     good = np.flatnonzero(count >= left)
     return np.isin(lab, good[good > 0])
 
 
-def holes_and_tears(rgb: np.ndarray, mask: np.ndarray, tape: float | None = None, explained: np.ndarray | None = None, true_only: bool = False, spread: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def holes_and_tears(rgb: np.ndarray, mask: np.ndarray, tape: float | None = None, explained: np.ndarray | None = None, true_only: bool = False, spread: float = 0.0, lab: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Holes: inside the leaf, nearer in colour to the background than to the leaf, cooler, neither glare nor mark.
 
     ``explained`` pixels belong to other defects; ``true_only`` keeps parts whose core has the
@@ -235,10 +242,11 @@ def holes_and_tears(rgb: np.ndarray, mask: np.ndarray, tape: float | None = None
     """
     if not mask.any():
         return mask.copy(), mask.copy()
-    lab = K.to_lab(rgb)
+    lab = K.to_lab(rgb) if lab is None else lab
     side = np.sqrt(mask.sum())
     r = max(2, int(0.02 * side))
-    off, own, sd = reference_colours(lab, mask, r)
+    colours = reference_colours(lab, signed_edge(mask), r)
+    off, own, sd = colours["off"], colours["own"], colours["spread"]
     mark = K.dilate(marker_mask(rgb), max(2, r // 2))
     d_own = colour_distance(lab, own)
     cool = lab[..., 2] < own[2] - np.clip(sd, HOLE_MARGIN, 15)
@@ -264,15 +272,18 @@ def holes_and_tears(rgb: np.ndarray, mask: np.ndarray, tape: float | None = None
     return cand, K.closed(mask, reach) & ~mask & ~mark
 
 
-def stains(rgb: np.ndarray, mask: np.ndarray, holes: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Green against the leaf, white and black against their surroundings (black ones also round valleys)."""
-    lab = np.stack([K.median_around(c, 3) for c in np.moveaxis(K.to_lab(rgb), 2, 0)], axis=2)
+def stains(rgb: np.ndarray, mask: np.ndarray, holes: np.ndarray | None = None, lab: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Green against the leaf, white and black against their surroundings (black ones also round valleys).
+
+    The surroundings' medians are exact, and only taken where their bounds leave it open.
+    """
+    lab = np.stack([K.median_around(c, 3) for c in np.moveaxis(K.to_lab(rgb) if lab is None else lab, 2, 0)], axis=2)
     light, a, b = np.moveaxis(lab, 2, 0)
     chroma = np.hypot(a, b)
     if not mask.any():
         return {k: mask.copy() for k in ("green", "white", "black")}
     size = max(31, int(0.04 * max(mask.shape))) | 1
-    near_l, near_c = K.median_around(light, size), K.median_around(chroma, size)
+    low, high = K.median_between(light, size)
     g = K.gaussian(light, 2.0)
     gy, gx = np.gradient(g)
     (yy, yx), (_, xx) = np.gradient(gy), np.gradient(gx)
@@ -280,49 +291,152 @@ def stains(rgb: np.ndarray, mask: np.ndarray, holes: np.ndarray | None = None) -
     root = np.sqrt(np.maximum(0, mean * mean - det))
     one, two = mean + root, mean - root
     valley = (one > 0) & (two > 0) & (np.maximum(abs(one), abs(two)) / (np.minimum(abs(one), abs(two)) + 1e-6) < BLACK_SHAPE)
+
+    def settled(maybe, values, test):
+        """The pixels of ``maybe`` whose value passes against the median around it."""
+        out = np.zeros_like(maybe)
+        out[maybe] = test(values[maybe], K.median_at(values, size, maybe))
+        return out
+
+    white = settled(mask & (light > low + WHITE_L), light, lambda v, m: v > m + WHITE_L)
     found = {
         "green": mask & (a < np.median(a[mask]) - GREEN_A) & (b > GREEN_B),
-        "white": mask & (light > near_l + WHITE_L) & (chroma < near_c - WHITE_C),
-        "black": mask & (light < near_l - BLACK_L) & valley,
+        "white": settled(white, chroma, lambda v, m: v < m - WHITE_C),
+        "black": settled(mask & valley & (light < high - BLACK_L), light, lambda v, m: v < m - BLACK_L),
     }
     free = ~holes if holes is not None else np.ones_like(mask)
     return {k: K.closed(K.opened(m & free, 3), 3) for k, m in found.items()}
 
 
-def sweat(rgb: np.ndarray, mask: np.ndarray, border: int = BORDER, limit: float = SPECK_A) -> dict[str, float]:
+SWEAT = ("sud_frac", "sud_n", "sud_dens", "sud_verdor_p95", "sud_verdor_med")
+
+
+def greenness(lab: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """How much greener each pixel of the leaf is than its surroundings, at the size of specks."""
+    flat = np.where(mask, lab[..., 1], np.median(lab[..., 1][mask]))
+    return K.gaussian(flat, AROUND / 2) - K.gaussian(flat, SPECK / 2)
+
+
+def specks_in(greener: np.ndarray, mask: np.ndarray, where: np.ndarray, limit: float) -> dict[str, float]:
+    """Measures of the specks over ``limit`` in one region of the leaf (none in an empty one)."""
+    area = float(where.sum())
+    if not area:
+        return dict.fromkeys(SWEAT, 0.0)
+    specks = K.opened((greener > limit) & mask, 1) & where
+    n = len(K.parts(specks, SPECK_MIN))
+    return dict(zip(SWEAT, (float(specks.sum()) / area, float(n), 1e6 * n / area, float(np.percentile(greener[where], 95)), float(np.median(greener[where])))))
+
+
+def away_from_border(mask: np.ndarray, border: int) -> np.ndarray:
+    """The leaf without its border; a tiny leaf whole."""
+    inner = K.erode(mask, border)
+    return inner if inner.sum() >= 500 else mask
+
+
+def sweat(rgb: np.ndarray, mask: np.ndarray, border: int = BORDER, limit: float = SPECK_A, greener: np.ndarray | None = None) -> dict[str, float]:
     """Specks greener than their surroundings, counted away from the leaf's border (a tiny leaf: everywhere)."""
-    keys = ("sud_frac", "sud_n", "sud_dens", "sud_verdor_p95", "sud_verdor_med")
     if not mask.any():
-        return dict.fromkeys(keys, 0.0)
-    a = K.to_lab(rgb)[..., 1]
-    flat = np.where(mask, a, np.median(a[mask]))
-    greener = K.gaussian(flat, AROUND / 2) - K.gaussian(flat, SPECK / 2)
-    specks = K.opened((greener > limit) & mask, 1)
-    where = K.erode(mask, border)
-    if where.sum() < 500:
-        where = mask
-    n = len(K.parts(specks & where, SPECK_MIN))
-    area = float(where.sum())
-    return dict(zip(keys, (float((specks & where).sum()) / area, float(n), 1e6 * n / area, float(np.percentile(greener[where], 95)), float(np.median(greener[where])))))
+        return dict.fromkeys(SWEAT, 0.0)
+    return specks_in(greenness(K.to_lab(rgb), mask) if greener is None else greener, mask, away_from_border(mask, border), limit)
+
+
+def sweat_by_deviation(rgb: np.ndarray, mask: np.ndarray, border: int = BORDER, steps: tuple[int, ...] = (3, 4, 5), greener: np.ndarray | None = None) -> dict[str, float]:
+    """The same measures with the limit at 3, 4 and 5 robust deviations (1.4826 MAD) over the leaf's median."""
+    names = [f"{m}_k{k}" for k in steps for m in SWEAT]
+    if not mask.any():
+        return dict.fromkeys(names, 0.0)
+    greener, where = greenness(K.to_lab(rgb), mask) if greener is None else greener, away_from_border(mask, border)
+    mid = np.median(greener[where])
+    mad = 1.4826 * np.median(np.abs(greener[where] - mid))
+    return dict(zip(names, (v for k in steps for v in specks_in(greener, mask, where, mid + k * mad).values())))
+
+
+def sweat_by_side(rgb: np.ndarray, mask: np.ndarray, border: int = BORDER, limit: float = SPECK_A, greener: np.ndarray | None = None) -> dict[str, float | None]:
+    """Specks of the halves on either side of the vein: each measure left and right, its asymmetry and the ratio of the greater to the lesser."""
+    out: dict[str, float | None] = {}
+    if greener is None and mask.any():
+        greener = greenness(K.to_lab(rgb), mask)
+    side = vein_side(mask) if mask.any() else None
+    where = away_from_border(mask, border)
+    left, right = (specks_in(greener, mask, where & (side == v), limit) if mask.any() else dict.fromkeys(SWEAT, 0.0) for v in (1, -1))
+    for m in SWEAT:
+        a, b = left[m], right[m]
+        out |= {f"{m}_left": a, f"{m}_right": b, f"{m}_asym": (a - b) / (a + b + 1e-6), f"{m}_ratio": max(a, b) / min(a, b) if min(a, b) > 0 else None}
+    return out
+
+
+def axis_of(xs: np.ndarray, ys: np.ndarray) -> tuple[float, float]:
+    """The main axis of points (its y not negative) in closed form, as ``axes`` has it for relations."""
+    (a, b), (_, c) = np.cov(np.stack([xs, ys]))
+    if abs(b) < 1e-12:
+        return (1.0, 0.0) if a >= c else (0.0, 1.0)
+    long = (a + c) / 2 + np.hypot((a - c) / 2, b)
+    size = np.hypot(b, long - a) * (-1 if long < a else 1)
+    return float(b / size), float((long - a) / size)
+
+
+def extents(t: np.ndarray, s: np.ndarray, bins: int = PROFILE_BINS, least: int = 3) -> np.ndarray:
+    """How far s reaches in equal steps of t; 0 in a step with too few points."""
+    step = np.minimum(bins - 1, np.floor((t - t.min()) * (bins / max(1e-9, np.ptp(t))))).astype(int)
+    order = np.argsort(step, kind="stable")
+    cuts = np.searchsorted(step[order], np.arange(bins + 1))
+    return np.array([np.ptp(s[order[a:b]]) if b - a > least else 0.0 for a, b in zip(cuts, cuts[1:])])
 
 
 def leaf_frame(mask: np.ndarray) -> dict:
-    """Axis frame of a mask: places t and s of its pixels, widths in 60 steps, the blade's extent and the base end."""
+    """Axis frame of a mask: places t and s of its pixels, widths in 60 steps, the blade's extent and the base end.
+
+    The blade is where the leaf has ``END_SHARE`` of its greatest width; the longer of the narrow ends
+    beyond it is the base (the stalk's end).
+    """
     ys, xs = np.nonzero(mask)
-    p = np.stack([xs, ys]).astype(float)
-    mu = p.mean(axis=1)
-    _, vec = np.linalg.eigh(np.cov(p))
-    e = vec[:, 1] * (-1 if vec[1, 1] < 0 else 1)
-    t, s = e @ (p - mu[:, None]), np.array([-e[1], e[0]]) @ (p - mu[:, None])
-    k = np.clip(((t - t.min()) / max(1e-9, np.ptp(t)) * PROFILE_BINS).astype(int), 0, PROFILE_BINS - 1)
-    low, high, n = np.full(PROFILE_BINS, np.inf), np.full(PROFILE_BINS, -np.inf), np.bincount(k, minlength=PROFILE_BINS)
-    np.minimum.at(low, k, s)
-    np.maximum.at(high, k, s)
-    width = np.where(n > 3, high - low, 0.0)
-    wide = np.flatnonzero(width >= END_SHARE * width.max())
-    head, tail = int(wide[0]), PROFILE_BINS - 1 - int(wide[-1])
+    dx, dy = xs - xs.mean(), ys - ys.mean()
+    ex, ey = axis_of(dx, dy)
+    t, s = dx * ex + dy * ey, dy * ex - dx * ey
+    width = extents(t, s)
+    blade = np.flatnonzero(width >= END_SHARE * width.max())
+    before, after = int(blade[0]), PROFILE_BINS - 1 - int(blade[-1])
     step = np.ptp(t) / PROFILE_BINS
-    return {"axis": e, "t": t, "s": s, "ys": ys, "xs": xs, "width": width, "first": t.min() + head * step, "last": t.max() - tail * step, "base_first": head > tail, "margin": abs(head - tail)}
+    return {
+        "axis": np.array([ex, ey]), "t": t, "s": s, "ys": ys, "xs": xs, "width": width, "margin": abs(before - after),
+        "first": t.min() + before * step, "last": t.max() - after * step, "base_first": before > after,
+    }
+
+
+def vein_line(t: np.ndarray, s: np.ndarray, bins: int = PROFILE_BINS, window: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """The mid-line between the two edges: its s in equal steps of t, gaps interpolated, smoothed by a running median; and each point's step."""
+    step = np.clip(((t - t.min()) / max(1e-9, np.ptp(t)) * bins).astype(int), 0, bins - 1)
+    order = np.lexsort((s, step))
+    known, begin = np.unique(step[order], return_index=True)
+    last = np.r_[begin[1:], len(order)] - 1
+    mid = np.interp(np.arange(bins), known, (s[order[begin]] + s[order[last]]) / 2)
+    around = np.pad(mid, window // 2, mode="edge")
+    return np.median(np.lib.stride_tricks.sliding_window_view(around, window), axis=1), step
+
+
+def vein_side(mask: np.ndarray) -> np.ndarray:
+    """1 on the left of the vein's line, -1 on its right, 0 off the leaf."""
+    f = leaf_frame(mask)
+    line, step = vein_line(f["t"], f["s"])
+    out = np.zeros(mask.shape, dtype=np.int8)
+    out[f["ys"], f["xs"]] = np.where(f["s"] > line[step], 1, -1)
+    return out
+
+
+COLOUR = ("mean_l", "sd_l", "mean_a", "mean_b", "sd_b", "dark", "green", "glare", "energy")
+
+
+def colour_measures(lab: np.ndarray, energy: np.ndarray, where: np.ndarray, least: int = 200) -> dict[str, float | None]:
+    """Nine measures of a region's colour; unknown with under ``least`` pixels.
+
+    Means and deviations, the shares darker, greener and lighter than the mean by 1.5 deviations, and
+    the mean gradient of the lightness.
+    """
+    if np.count_nonzero(where) < least:
+        return dict.fromkeys(COLOUR)
+    light, a, b = (c[where] for c in np.moveaxis(lab, 2, 0))
+    far = lambda v, sign: float((sign * (v - v.mean()) > 1.5 * (v.std() + 1e-6)).mean())
+    return dict(zip(COLOUR, (float(light.mean()), float(light.std() + 1e-6), float(a.mean()), float(b.mean()), float(b.std()), far(light, -1), far(a, -1), far(light, 1), float(energy[where].mean()))))
 
 
 def tip_widths(frame: dict, inch: float, places: tuple[float, ...] = (0.25, 0.5, 1.0, 2.0)) -> dict[str, float | None]:
@@ -348,51 +462,72 @@ def bites(mask: np.ndarray, frame: dict, tip: float, base: float, least: int, th
     return [(p, float(depth[tuple(p)].max())) for p in K.parts(gone, least) if core[tuple(p)].max() * 2 >= thick]
 
 
-MEASURES = ("area", "coverage", "solidity", "touches", "mark_share", "left_out", "mean_l", "sd_l", "mean_a", "mean_b", "sd_b", "dark", "green", "glare", "energy", "sud_frac", "sud_n", "sud_dens", "sud_verdor_p95", "sud_verdor_med", "n_holes", "n_tears", "n_bites", "base_margin")
+TIPS = ("punta_0.25", "punta_0.5", "punta_1", "punta_2")
+MEASURES = (
+    "area", "coverage", "solidity", "touches", "mark_share", "left_out", *COLOUR, *SWEAT, *(f"{m}_k{k}" for k in (3, 4, 5) for m in SWEAT),
+    *(f"{m}_{n}" for m in SWEAT for n in ("left", "right", "asym", "ratio")), *(f"{side}_{m}" for side in ("left", "right") for m in COLOUR),
+    "n_holes", "n_tears", "n_bites", "base_margin", "tape", "inch", "length_in", "width_in", "area_in2", *TIPS, "vein_asym", "tilt",
+)
 DEFECT = "struct<kind:string,zone:string,area:bigint,t:double,s:double,depth:double>"
 
 
-def measure(rgb: np.ndarray, tape: float | None = None) -> tuple[dict, list[dict]]:
-    """All measures of one picture, and its defects with their zones."""
-    mask, _, _, rest = leaf_mask(rgb)
+def measure(rgb: np.ndarray, tape: float | None = None, tape_inches: float = 1.0) -> tuple[dict, list[dict]]:
+    """All measures of one picture, and its defects with their zones.
+
+    ``tape``: the measuring tape's width in pixels if known, else what the picture shows of it; with
+    it lengths are in inches too (``tape_inches`` is its width).  Without a tape the zones grow with
+    the leaf's length, and measures in inches are unknown.
+    """
+    lab = K.to_lab(rgb)
+    mask, _, _, rest = leaf_mask(rgb, lab)
     out = dict.fromkeys(MEASURES, None) | {"area": float(mask.sum()), "coverage": float(mask.mean()), "left_out": rest}
     if mask.sum() < 200:
         return out, []
-    lab = K.to_lab(rgb)
-    light, a, b = (c[mask] for c in np.moveaxis(lab, 2, 0))
+    if tape is None:
+        from .scale import tape_scale
+
+        tape = tape_scale(rgb, lab)["width"]
     frame = leaf_frame(mask)
     length = frame["last"] - frame["first"]
-    u = 0.5
+    inch = tape_inches / tape if tape else None
+    u = 0.5 if inch is None else float(np.clip((length * inch - 14.7) / (16.9 - 14.7), 0, 1))
     tip, base, vein = (0.035 + u * 0.085) * length, (0.085 + u * 0.091) * length, 0.6 * (tape or 0.05 * length)
     if frame["base_first"]:  # the base lies at the far end
         frame["axis"], frame["t"], frame["s"] = -frame["axis"], -frame["t"], -frame["s"]
         frame["first"], frame["last"] = -frame["last"], -frame["first"]
-    spots = stains(rgb, mask)
-    holes, tears = holes_and_tears(rgb, mask, tape, explained=spots["green"] | spots["white"])
+    spots = stains(rgb, mask, lab=lab)
+    holes, tears = holes_and_tears(rgb, mask, tape, explained=spots["green"] | spots["white"], lab=lab)
     centre = np.array([frame["xs"].mean(), frame["ys"].mean()])
+    across = np.array([-frame["axis"][1], frame["axis"][0]])
     defects = []
     chewed = bites(mask, frame, tip, base, 100, 0.02 * max(mask.shape))
     groups = [("hole", [(p, 0.0) for p in K.parts(holes, 25)]), ("tear", [(p, 0.0) for p in K.parts(tears, 25)]), ("bite", chewed), *[(k, [(p, 0.0) for p in K.parts(m, 60)]) for k, m in spots.items()]]
     for kind, found in groups:
         for p, depth in found:
             d = np.array([p[1].mean(), p[0].mean()]) - centre
-            t, s = float(d @ frame["axis"]), float(d @ np.array([-frame["axis"][1], frame["axis"][0]]))
+            t, s = float(d @ frame["axis"]), float(d @ across)
             place = "base" if t > frame["last"] - base else "tip" if t < frame["first"] + tip else "vein" if abs(s) < vein / 2 else "left" if s > 0 else "right"
             defects.append({"kind": kind, "zone": place, "area": int(p.shape[1]), "t": t, "s": s, "depth": depth})
-    sd = light.std() + 1e-6
+    energy, side, greener = K.gradient_energy(lab[..., 0]), vein_side(mask), greenness(lab, mask)
+    halves = {"left": side == 1, "right": side == -1}
     out |= {
         "solidity": float(mask.sum() / K.hull(mask).sum()), "touches": float(mask[0].any() or mask[-1].any() or mask[:, 0].any() or mask[:, -1].any()), "mark_share": float(marker_mask(rgb)[mask].mean()),
-        "mean_l": float(light.mean()), "sd_l": float(sd), "mean_a": float(a.mean()), "mean_b": float(b.mean()), "sd_b": float(b.std()),
-        "dark": float((light < light.mean() - 1.5 * sd).mean()), "green": float((a < a.mean() - 1.5 * a.std()).mean()), "glare": float((light > light.mean() + 1.5 * sd).mean()), "energy": float(K.gradient_energy(lab[..., 0])[mask].mean()),
-        **sweat(rgb, mask), "base_margin": float(frame["margin"]),
+        **colour_measures(lab, energy, mask), **{f"{k}_{m}": v for k, half in halves.items() for m, v in colour_measures(lab, energy, half).items()},
+        **sweat(rgb, mask, greener=greener), **sweat_by_deviation(rgb, mask, greener=greener), **sweat_by_side(rgb, mask, greener=greener), "base_margin": float(frame["margin"]),
         **{f"n_{k}s": float(sum(d["kind"] == k for d in defects)) for k in ("hole", "tear", "bite")},
+        "tape": tape, "tilt": float(np.degrees(np.arctan2(frame["axis"][1], frame["axis"][0]))), "vein_asym": vein_asymmetry(lab[..., 0], mask),
     }
+    if inch is not None:
+        out |= {"inch": inch, "length_in": float(length) * inch, "width_in": float(frame["width"].max()) * inch, "area_in2": float(mask.sum()) * inch * inch, **tip_widths(frame, inch)}
     return out, defects
 
 
 def measure_pictures(images: DataFrame, tape: str | None = None) -> DataFrame:
-    """(path, measures, defects, error) of decoded pictures (path, h, w, rgb); a failure is a row with its reason."""
-    schema = "path string, " + ", ".join(f"{m} double" for m in MEASURES) + f", defects array<{DEFECT}>, error string"
+    """(path, measures, defects, error) of decoded pictures (path, h, w, rgb); a failure is a row with its reason.
+
+    ``tape``: a column with the tape's width in pixels; unknown ones are measured.
+    """
+    schema = "path string, " + ", ".join(f"`{m}` double" for m in MEASURES) + f", defects array<{DEFECT}>, error string"
     slim = images.select("path", "h", "w", "rgb", (F.col(tape).cast("double") if tape else F.lit(None).cast("double")).alias("tape"))
 
     def run(batches):

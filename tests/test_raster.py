@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gradewell.operators import geometry, raster
+from gradewell.operators import geometry, raster, scale
 from gradewell.operators import kernels as K
 from gradewell.sources.files import pack_mask
 
@@ -50,6 +50,87 @@ def test_components_and_filling(m):
     assert (h >= m).all() and (K.hull(h) == h).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(masks, st.sampled_from([1, 1.5, 2, 2.9, 4.3]))
+def test_discs_are_ranges_of_the_distance(m, r):
+    assert (K.dilate(m, r) == (K.distance_to(m) <= r)).all()
+    assert (K.erode(m, r) == (K.distance_to(~m) > r)).all()
+
+
+def test_bounds_of_medians():
+    a = np.random.default_rng(0).integers(0, 255, (30, 40)).astype(float)
+    full, where = K.median_around(a, 11), np.random.default_rng(1).random((30, 40)) < 0.3
+    low, high = K.median_between(a, 11)
+    assert (low <= full).all() and (full <= high).all() and (high - low).max() < 25
+    assert (K.median_at(a, 11, where) == full[where]).all()
+    small = [[np.median(np.pad(a, 1, mode="edge")[y : y + 3, x : x + 3]) for x in range(40)] for y in range(30)]
+    assert K.median_around(a, 3).tolist() == small
+
+
+def test_signed_edge_and_reference_colours():
+    mask = np.zeros((60, 80), bool)
+    mask[15:45, 20:60] = True
+    lab = np.zeros((60, 80, 3))
+    lab[mask] = (100, 5, 40)
+    lab[13:15] = 999  # beside the outline: no part of the ring
+    edge = raster.signed_edge(mask)
+    assert edge[14, 30] == 1 and edge[15, 30] == -1 and edge[30, 40] == -15
+    c = raster.reference_colours(lab, edge, 4)
+    assert c["own"].tolist() == [100, 5, 40] and c["off"].tolist() == [0, 0, 0] and c["spread"] == 0
+
+
+def test_frame_against_eigenvectors():
+    rng = np.random.default_rng(5)
+    for _ in range(10):
+        mask = K.turned(np.pad(np.ones((9, 40), bool), 3), float(rng.uniform(0, 180)))
+        f = raster.leaf_frame(mask)
+        ys, xs = np.nonzero(mask)
+        val, vec = np.linalg.eigh(np.cov(np.stack([xs, ys])))
+        assert abs(abs(vec[:, 1] @ f["axis"]) - 1) < 1e-9 and f["axis"][1] >= -1e-12
+        assert abs(np.ptp(f["t"]) - np.ptp(vec[:, 1] @ np.stack([xs, ys]))) < 1e-6
+
+
+def test_vein_line_and_sides():
+    y, x = np.mgrid[:80, :200]
+    mask = ((x - 100) / 90) ** 2 + ((y - 40 - 0.1 * np.abs(x - 100)) / 25) ** 2 <= 1
+    side = raster.vein_side(mask)
+    assert ((side != 0) == mask).all() and abs((side == 1).sum() - (side == -1).sum()) < 0.05 * mask.sum()
+    rgb = leaf(green=[(100, 120 + 20 * i, 3) for i in range(8)])
+    m = raster.leaf_mask(rgb)[0]
+    by = raster.sweat_by_side(rgb, m, border=5)
+    assert max(by["sud_n_left"], by["sud_n_right"]) >= 6 and abs(by["sud_n_asym"]) > 0.5
+    robust = raster.sweat_by_deviation(rgb, m, border=5)
+    assert robust["sud_frac_k3"] >= robust["sud_frac_k4"] >= robust["sud_frac_k5"] >= 0 and robust["sud_n_k3"] > 0
+
+
+def test_nine_colour_measures():
+    rng = np.random.default_rng(2)
+    lab, where = rng.normal(size=(40, 40, 3)) * 10 + 50, np.ones((40, 40), bool)
+    m = raster.colour_measures(lab, lab[..., 1], where)
+    light = lab[..., 0].ravel()
+    assert np.isclose(m["mean_l"], light.mean()) and np.isclose(m["dark"], (light < light.mean() - 1.5 * (light.std() + 1e-6)).mean())
+    assert len(m) == 9 and set(raster.colour_measures(lab, lab[..., 1], where & (np.arange(40) < 4)).values()) == {None}
+
+
+def test_tape_scale():
+    rgb = leaf()
+    rgb[205:220, 20:380] = (235, 235, 232)
+    rgb[205:220, 20:380:18] = (60, 60, 60)
+    rgb[205:220, 21:380:18] = (60, 60, 60)
+    found = scale.tape_scale(rgb)
+    assert found["state"] == "ok" and abs(found["width"] - 14) <= 1.5 and abs(found["period"] - 18) <= 0.5 and found["strength"] > 0.9
+    assert scale.tape_scale(leaf())["state"] == "none"
+    out, _ = raster.measure(rgb)
+    assert abs(out["length_in"] - 0.84 * 400 / found["width"]) < 2 and out["punta_1"] and raster.measure(leaf())[0]["length_in"] is None
+    assert scale.rescaled(20.0, 1000, 500) == 10 and scale.rescaled(None, 1, 1) is None and scale.inches(30, 15.0) == 2
+    assert abs(scale.round_diameter(np.pi * 100, 0.1) - 50.8) < 1e-9
+    assert np.isclose(scale.variation(np.array([0.0, 2, 4])), 1 / 3)
+    small = np.zeros((10, 20), bool)
+    small[2:8, 4:16] = True
+    big = scale.finer_mask(small, 40, 80)
+    assert big.shape == (40, 80) and big[20, 40] and 0.7 < big.sum() / (16 * small.sum()) < 1
+
+
 def test_colours():
     lab = K.to_lab(np.array([[[255, 255, 255], [0, 0, 0], [255, 0, 0]]], np.uint8))
     assert np.allclose(lab[0], [[255, 0, 0], [0, 0, 0], [53.24 * 2.55, 80.09, 67.2]], atol=0.2)
