@@ -29,6 +29,43 @@ def asymmetry(left, right) -> Column:
     return (left - right) / (left + right + F.lit(EPS))
 
 
+def contrast(left, right, scale=None) -> dict[str, Column]:
+    """A side contrast and its size: (left - right) over a scale (a deviation), else over the sum of both sizes; null if a side is unknown."""
+    left, right = _col(left), _col(right)
+    d = (left - right) / ((_col(scale) if scale is not None else F.abs(left) + F.abs(right)) + F.lit(EPS))
+    return {"signed": d, "size": F.abs(d)}
+
+
+def pretty_name(c, names: dict[str, str], prefixes: dict[str, str]) -> Column:
+    """A feature's name for readers: as listed, else its prefix replaced, underscores as spaces."""
+    out, rest = None, F.replace(_col(c), F.lit("_"), F.lit(" "))
+    for key, text in names.items():
+        out = F.when(_col(c) == key, F.lit(text)) if out is None else out.when(_col(c) == key, F.lit(text))
+    for key, text in prefixes.items():
+        hit, named = _col(c).startswith(key), F.concat(F.lit(text), F.replace(F.substr(_col(c), F.lit(len(key) + 1)), F.lit("_"), F.lit(" ")))
+        out = F.when(hit, named) if out is None else out.when(hit, named)
+    return rest if out is None else out.otherwise(rest)
+
+
+def to_inches(pixels, inch) -> Column:
+    """A length in inches by the inches of a pixel; null for an unknown or senseless scale."""
+    return F.when(_col(inch) > 0, _col(pixels) * _col(inch))
+
+
+def to_square_inches(pixels, inch) -> Column:
+    return F.when(_col(inch) > 0, _col(pixels) * _col(inch) * _col(inch))
+
+
+def diameter_mm(area, inch) -> Column:
+    """Diameter in millimetres of the disc with that area in pixels."""
+    return F.when(_col(inch) > 0, 2 * F.sqrt(_col(area) / F.pi()) * _col(inch) * 25.4)
+
+
+def signal_value(c) -> Column:
+    """The number of a signal; what can't be read counts as 0."""
+    return F.coalesce(_col(c).try_cast("int"), F.lit(0))
+
+
 def guarded_ratio(part, whole, above: float = 1.0) -> Column:
     """part / whole where the whole is known and over ``above``, else null."""
     whole = _col(whole)

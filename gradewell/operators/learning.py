@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import logit, sigmoid
-from . import tables
+from .aggregates import exact_percentiles
+from .ordered import running
 
 
 @dataclass
@@ -52,12 +53,10 @@ def fit_logistic(df: DataFrame, names: list[str], label: str, balanced: bool = T
     mean loss.  Columns without any value are dropped.  With one class, or no rows, the model is constant.
     """
     rows = df.where(F.col(label).isNotNull())
-    stats = rows.agg(
-        F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum((F.col(label) == 1).cast("int")), F.lit(0)).alias("_p"),
-        *[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in names],
-    ).first()
-    n, p = stats["_n"], stats["_p"]
-    model = LinearModel([c for c in names if stats[c] is not None], {c: float(stats[c]) for c in names if stats[c] is not None})
+    n, p = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col(label) == 1).cast("int")), F.lit(0))).first()
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in names])).alias("e")).select("e.*")
+    mids = {r["name"]: float(r["q"][0]) for r in exact_percentiles(long, ["name"], "v", [0.5]).collect()}  # one row per feature
+    model = LinearModel([c for c in names if c in mids], {c: mids[c] for c in names if c in mids})
     full = rows.select(F.col(label).cast("double").alias("_y"), *[F.coalesce(F.col(c).cast("double"), F.lit(model.median[c])).alias(c) for c in model.names])
     if not model.names or p in (0, n):
         model.mean = model.scale = model.weight = {c: 0.0 for c in model.names}
@@ -117,17 +116,35 @@ def nested_calibration(df: DataFrame, fold: str, folds: int, fit: Callable[[Data
     return out
 
 
+def dealt_group_folds(df: DataFrame, group: str, label: str, k: int) -> DataFrame:
+    """(group, fold): within each stratum (a group's most frequent class, the least of equals) groups are dealt over the folds.
+
+    Larger groups are dealt first, equals by the MD5 of their key, in turns that go back and forth
+    (0 to k - 1, then k - 1 to 0), each stratum beginning one fold on, so every class is spread evenly
+    whatever the number of groups; ranks are taken in ranges of the order (``running``), never in one task.
+    """
+    per = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.sum("n").alias("_n"), F.min_by(label, F.struct((-F.col("n")).alias("a"), F.col(label).alias("b"))).alias("_s"))
+    strata = [r[0] for r in per.select("_s").distinct().orderBy(F.col("_s").cast("string").asc_nulls_first()).collect()]  # as many as there are classes
+    out = None
+    for i, s in enumerate(strata):
+        mine = per.where(F.col("_s").eqNullSafe(F.lit(s))).select(group, F.col("_n").cast("double").alias("_n"), F.md5(F.col(group).cast("string")).alias("_h"))
+        ranked = running(mine, "_n", [], ties=("_h", group), ascending=False)
+        at, turn = F.pmod(F.col("rank") - 1, F.lit(k)), F.pmod(F.floor((F.col("rank") - 1) / k), F.lit(2))
+        part = ranked.select(group, F.pmod(F.when(turn == 0, at).otherwise(k - 1 - at) + i, F.lit(k)).cast("int").alias("fold"))
+        out = part if out is None else out.unionByName(part)
+    return df.select(group, F.lit(0).alias("fold")).limit(0) if out is None else out
+
+
 def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, most: int = 100_000) -> DataFrame:
     """(group, fold): groups dealt greedily, the most uneven first, each to the fold where classes stay most even.
 
     The greedy rule needs all groups' class counts on the driver: up to ``most`` groups.  Beyond that
-    many, folds are by hash and not stratified: a rare class can be missing from some.
+    many, ``dealt_group_folds`` keeps the classes even.
     """
     counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("c"))
-    n = counts.count()
-    if n > most:
-        return tables.hash_folds(counts.select(group), group, k)
-    rows = counts.collect()
+    rows = counts.limit(most + 1).collect()
+    if len(rows) > most:
+        return dealt_group_folds(df, group, label, k)
     labels = sorted({x for r in rows for x in r["c"]}, key=str)
     total = {x: sum(r["c"].get(x, 0) for r in rows) for x in labels}
     load = [dict.fromkeys(labels, 0) for _ in range(k)]
@@ -178,22 +195,22 @@ def by_bins(df: DataFrame, bins: DataFrame, conf: str, name: str) -> DataFrame:
     return bin_lookup(df, bins, conf, name).withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
-def bootstrap(df: DataFrame, outcomes: list[str], key: str, samples: int = 2000, seed: int = 0) -> DataFrame:
-    """(sample, n, one column per outcome): means of 0/1 outcomes over resampled rows, paired across outcomes.
+def bootstrap(df: DataFrame, outcomes: list[str], samples: int = 2000, seed: int = 0) -> DataFrame:
+    """(sample, n, one column per outcome): means of outcomes over resampled rows, paired across outcomes.
 
-    Each row is drawn a Poisson(1) number of times per sample, by a hash of seed, key and sample: that
-    is the bootstrap for many rows, needs no global draw, and sums up before the shuffle.
+    Rows are counted per pattern of their outcomes first (0/1 outcomes have few), so the work is
+    patterns times samples, not rows times samples.  A pattern of c rows is drawn a number of times
+    that has mean and variance c, as a Poisson(1) draw of each of its rows has in sum: round half to
+    even of c + sqrt(c) * z, at least 0, where z is the standardised sum of ten twelve-bit numbers of
+    the MD5 of seed, pattern and sample.
     """
-    u = (F.xxhash64(F.lit(seed), F.col(key), F.col("sample")).cast("double") / 2.0**64) + 0.5
-    limits, p, total = [], math.exp(-1), 0.0
-    for k in range(1, 12):
-        total += p
-        limits.append(total)
-        p /= k
-    times = F.aggregate(F.array(*map(F.lit, limits)), F.lit(0), lambda a, x: a + F.when(F.col("_u") >= x, 1).otherwise(0))
-    each = df.select(F.col(key), *[F.col(c).cast("double").alias(c) for c in outcomes], F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-    drawn = each.withColumn("_u", u).withColumn("_t", times)
-    return drawn.groupBy("sample").agg(F.sum("_t").alias("n"), *[F.try_divide(F.sum(F.col("_t") * F.col(c)), F.sum("_t")).alias(c) for c in outcomes])
+    per = df.groupBy(*outcomes).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    name = F.concat_ws(",", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("int").cast("string"), F.lit("-")) for c in outcomes], F.col("sample").cast("string"))
+    each = per.select(*[F.col(c).cast("double").alias(c) for c in outcomes], "_c", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).withColumn("_h", F.md5(name))
+    total = sum((F.conv(F.substring("_h", 3 * k + 1, 3), 16, 10).cast("double") for k in range(10)), F.lit(0.0))
+    z = (total / 4096.0 - (10 * 4095 / 8192.0)) / math.sqrt(10 / 12)
+    drawn = each.withColumn("_t", F.greatest(F.bround(F.col("_c") + F.sqrt("_c") * z, 0), F.lit(0.0)))
+    return drawn.groupBy("sample").agg(F.sum("_t").cast("long").alias("n"), *[F.try_divide(F.sum(F.col("_t") * F.coalesce(F.col(c), F.lit(0.0))), F.sum("_t")).alias(c) for c in outcomes])
 
 
 def interval(samples: DataFrame, value: Column, name: str = "value") -> DataFrame:
@@ -223,6 +240,24 @@ def cross_exam(a: DataFrame, b: DataFrame, fit: Callable, judge: Callable[[DataF
     return {"a_to_b": judge(b, fit(a)), "b_to_a": judge(a, fit(b))}
 
 
-def ablation(sets: dict[str, list[str]], run: Callable[[list[str]], float]) -> dict[str, float]:
-    """The figure of each set of columns; a set of background alone is the control that must lose."""
-    return {name: run(columns) for name, columns in sets.items()}
+def ablation(sets: dict[str, list[str]], run: Callable[[list[str]], float], background: str | None = None) -> dict[str, float]:
+    """The figure of each set of columns; a set of background alone is the control that must lose to every other."""
+    figures = {name: run(columns) for name, columns in sets.items()}
+    if background is not None and any(v <= figures[background] for k, v in figures.items() if k != background):
+        raise ValueError(f"the control {background} explains as much as {', '.join(k for k, v in figures.items() if k != background and v <= figures[background])}")
+    return figures
+
+
+def pooled(runs: list[DataFrame]) -> DataFrame:
+    """The decisions of repeated trainings as one table with ``run`` (from 0): figures are taken over all of them."""
+    out = None
+    for k, d in enumerate(runs):
+        part = d.withColumn("run", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def best_of(figures: DataFrame, partition: str, family: str, value: str) -> DataFrame:
+    """(partition, family, value) of the better family of each partition (the least name of equals): an optimistic figure, since the examined rows choose."""
+    best = F.min_by(F.struct(family, value), F.struct((-F.col(value)).alias("v"), F.col(family)))
+    return figures.groupBy(partition).agg(best.alias("_b")).select(partition, F.col(f"_b.{family}").alias(family), F.col(f"_b.{value}").alias(value))

@@ -1,6 +1,7 @@
 """Learning operators: recovery of known models, isolation of folds, calibrators, intervals."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gradewell.operators import learning
@@ -48,6 +49,35 @@ def test_folds_keep_groups_together(spark):
     assert learning.stratified_group_folds(df, "g", "y", 4, most=10).groupBy("g").count().where("count > 1").count() == 0
 
 
+def test_dealt_folds_are_stratified(spark):
+    """A rare class is in every fold, however many groups there are."""
+    rows = [(f"g{i}", "rare" if i % 50 == 0 else "wide" if i % 2 else "other") for i in range(600) for _ in range(1 + i % 4)]
+    df = spark.createDataFrame(rows, "g string, y string")
+    folds = learning.dealt_group_folds(df, "g", "y", 5)
+    assert folds.count() == 600 and folds.select("g").distinct().count() == 600
+    per = df.join(folds, "g").groupBy("fold", "y").count().collect()
+    assert len(per) == 15
+    by = {}
+    for r in per:
+        by.setdefault(r.y, []).append(r["count"])
+    assert max(by["wide"]) <= 1.05 * min(by["wide"]) and max(by["rare"]) <= 3 * min(by["rare"])
+    many = learning.stratified_group_folds(df, "g", "y", 5, most=100)
+    assert {(r.g, r.fold) for r in many.collect()} == {(r.g, r.fold) for r in folds.collect()}
+    assert learning.dealt_group_folds(df.limit(0), "g", "y", 5).count() == 0
+
+
+def test_pooling_and_best_of(spark):
+    one = spark.createDataFrame([(1, True), (2, False)], "id int, ok boolean")
+    both = learning.pooled([one, one])
+    assert both.count() == 4 and {r.run for r in both.collect()} == {0, 1}
+    figures = spark.createDataFrame([(0, "a", 0.5), (0, "b", 0.75), (1, "a", 0.5), (1, "b", 0.5)], "p int, f string, v double")
+    assert sorted(tuple(r) for r in learning.best_of(figures, "p", "f", "v").collect()) == [(0, "b", 0.75), (1, "a", 0.5)]
+    sets = {"x": ["x"], "noise": ["n"]}
+    assert learning.ablation(sets, lambda c: 0.9 if c == ["x"] else 0.5, background="noise")["x"] == 0.9
+    with pytest.raises(ValueError):
+        learning.ablation(sets, lambda c: 0.5, background="noise")
+
+
 def test_out_of_fold_never_sees_its_fold(spark):
     df = sample(spark).withColumn("fold", F.col("id") % 3)
     seen = []
@@ -95,7 +125,7 @@ def test_calibrators(spark):
 
 def test_bootstrap_interval(spark):
     df = spark.range(400).select("id", (F.col("id") % 4 > 0).cast("int").alias("a"), (F.col("id") % 2).cast("int").alias("b"))
-    s = learning.bootstrap(df, ["a", "b"], "id", samples=400, seed=3)
+    s = learning.bootstrap(df, ["a", "b"], samples=400, seed=3)
     low, high, mean = learning.interval(s, F.col("a")).first()
     assert abs(mean - 0.75) < 0.005 and 0.69 < low < 0.73 < 0.77 < high < 0.81
     paired = learning.interval(s, F.col("a") - F.col("b")).first()
