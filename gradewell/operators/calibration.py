@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from .aggregates import exact_percentiles
 from .ordered import running
 
 # Bin edges of the two calibration tables, and the supports and margins of the rules.
@@ -56,8 +58,8 @@ def ece_quantile(df: DataFrame, conf: str, ok: str, bins: int = 10) -> DataFrame
 
     Equal edges make empty bins, which don't count.
     """
-    df = df.select(conf, ok).persist()
-    edges = df.agg(F.percentile(F.col(conf), [k / bins for k in range(1, bins)]).alias("_e"))
+    df = kept(df.select(conf, ok))
+    edges = exact_percentiles(df, [], conf, [k / bins for k in range(1, bins)]).select(F.col("q").alias("_e"))
     place = F.size(F.filter("_e", lambda e: e <= F.col(conf)))
     per = df.crossJoin(F.broadcast(edges)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.avg(conf).alias("said"), F.avg(F.col(ok).cast("double")).alias("acc"))
     return per.agg(F.count(F.lit(1)).alias("n_bins"), (F.sum(F.col("n") * F.abs(F.col("said") - F.col("acc"))) / F.sum("n")).alias("ece"))
@@ -72,7 +74,7 @@ def _sampled(ranked: DataFrame, total: str, points: int, least: int) -> Column:
 
 def cumulative_curve(df: DataFrame, conf: str, ok: str, position: str, points: int = POINTS, least: int = MIN_CURVE) -> DataFrame:
     """(conf, accuracy, coverage): of the rows at least as confident, how many are right and how many they are."""
-    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=False, bounds=(0.0, 1.0))
+    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=False)
     chosen = ranked.where(_sampled(ranked, "total", points, least))
     return chosen.select(F.col(conf).alias("conf"), (F.col("run__ok") / F.col("rank")).alias("accuracy"), (F.col("rank") / F.col("total")).alias("coverage"))
 
@@ -83,7 +85,7 @@ def class_curves(df: DataFrame, label: str, conf: str, ok: str, position: str, s
     A class is ordered in 256 confidence ranges, so that the window of a large class is many tasks' work.
     """
     low = F.floor(F.col(conf) * 255).cast("int")
-    rows = df.select(label, conf, position, (-low).alias("_b"), F.col(ok).cast("long").alias("_ok")).persist()
+    rows = kept(df.select(label, conf, position, (-low).alias("_b"), F.col(ok).cast("long").alias("_ok")))
     totals = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_ok").alias("_s"))
     before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     start = totals.select(label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.sum("_n").over(Window.partitionBy(label)).alias("total"))
@@ -126,31 +128,41 @@ def curve_lookup(df: DataFrame, curve: DataFrame, conf: str, name: str) -> DataF
     return df.crossJoin(_listed(curve, "coverage", "conf", "accuracy")).withColumn(name, pick["accuracy"]).drop("_table")
 
 
-def set_cut_lookup(df: DataFrame, measured: DataFrame, conf: str, inside_conf: str, ok: str, position: str, name: str, least: int = MIN_CURVE, margin: float = 0.0) -> DataFrame:
+def set_cut_lookup(df: DataFrame, measured: DataFrame, conf: str, inside_conf: str, ok: str, position: str, name: str, least: int = MIN_CURVE, margin: float = 0.0, block: int = 256, most: int = 65_536) -> DataFrame:
     """``df`` with the accuracy of all measured rows at least as confident, of at least ``least`` rows.
 
-    The measured rows are taken per distinct confidence, with running counts; a row of ``df`` finds its
-    place by an ordered union with them in confidence ranges, never by comparing all pairs.
+    The measured rows become one step per distinct confidence, with running counts.  Up to ``most``
+    steps go to every task in blocks of ``block``: a row finds its block, then its step.  Beyond that,
+    a row finds its place by an ordered union with the steps in confidence ranges.  Neither compares
+    all pairs.  A null confidence gets null.
     """
-    ranked = running(measured.withColumn("_ok", F.col(ok).cast("long")), inside_conf, ["_ok"], ties=(position,), ascending=False, bounds=(0.0, 1.0))
-    ranked = ranked.persist()
-    total = ranked.agg(F.max("rank").alias("_n"))
-    floor_row = ranked.crossJoin(F.broadcast(total)).where(F.col("rank") == F.least(F.lit(least).cast("long"), F.col("_n"))).select((F.col("run__ok") / F.col("rank")).alias("_acc0"), F.col("rank").alias("_r0"))
-    steps = ranked.groupBy(F.col(inside_conf).alias("_c")).agg(F.max("rank").alias("_r"), F.max_by("run__ok", "rank").alias("_s"))
+    rows = kept(measured.select(F.col(inside_conf).alias("_c"), F.col(position).alias("_p"), F.col(ok).cast("long").alias("_ok")).where("_c IS NOT NULL"))
+    top = rows.orderBy(F.desc("_c"), "_p").limit(least)  # the fewest rows that a figure may rest on
+    first = top.agg(F.avg("_ok").alias("_acc0"), F.count(F.lit(1)).alias("_r0")).where("_r0 > 0")
+    per = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), F.sum("_ok").alias("_s"))
+    steps = running(per, "_c", ["_n", "_s"], ascending=False).select("_c", F.col("run__n").alias("_r"), F.col("run__s").alias("_s"), "rank", "total")
+    steps = kept(steps)
+    accuracy = lambda h: F.when(h.isNull() | (h["_r"] < F.col("_r0")), F.col("_acc0")).otherwise(h["_s"] / h["_r"])
+    if steps.count() <= most:
+        # blocks upwards in confidence; the last step of each is its greatest
+        blocks = steps.groupBy(F.floor((F.col("total") - F.col("rank")) / block).alias("_k")).agg(F.array_sort(F.collect_list(F.struct("_c", "_r", "_s"))).alias("e"))
+        table = blocks.agg(F.array_sort(F.collect_list(F.struct("_k", F.array_max("e")["_c"].alias("top"), "e"))).alias("_blocks"))
+        mine = F.get(F.filter("_blocks", lambda b: b["top"] >= F.col(conf)), F.lit(0))["e"]
+        hit = F.get(F.filter(mine, lambda e: e["_c"] >= F.col(conf)), F.lit(0))
+        out = df.crossJoin(F.broadcast(table.crossJoin(first)))  # one row of at most ``most`` steps
+        return out.withColumn(name, F.when(F.col(conf).isNotNull(), accuracy(hit) - margin)).drop("_blocks", "_acc0", "_r0")
     probe = df.select(F.col(conf).alias("_c")).where(F.col(conf).isNotNull()).distinct()
     both = steps.select("_c", "_r", "_s").unionByName(probe.select("_c", F.lit(None).cast("long").alias("_r"), F.lit(None).cast("long").alias("_s")))
-    both = both.groupBy("_c").agg(F.max("_r").alias("_r"), F.max("_s").alias("_s"))
+    both = kept(both.groupBy("_c").agg(F.max("_r").alias("_r"), F.max("_s").alias("_s")).withColumn("_b", -F.floor(F.col("_c") * 4095).cast("int")))
     # per range of confidence the last step above it, then inside the range
-    both = both.withColumn("_b", -F.floor(F.col("_c") * 255).cast("int")).persist()  # range tops, frame and rows read it
     tops = both.where("_r IS NOT NULL").groupBy("_b").agg(F.max(F.struct("_r", "_s")).alias("_t"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    frame = both.select("_b").distinct().join(tops, "_b", "left")  # at most 256 rows
+    frame = both.select("_b").distinct().join(tops, "_b", "left")  # at most 4096 rows
     start = frame.select("_b", F.max("_t").over(before).alias("_t0"))
     inside = Window.partitionBy("_b").orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, 0)
     here = F.max(F.when(F.col("_r").isNotNull(), F.struct("_r", "_s"))).over(inside)
-    found = both.join(F.broadcast(start), "_b").select("_c", F.coalesce(here, F.col("_t0")).alias("_h")).crossJoin(F.broadcast(floor_row))
-    value = F.when(F.col("_h").isNull() | (F.col("_h._r") < F.col("_r0")), F.col("_acc0")).otherwise(F.col("_h._s") / F.col("_h._r"))
-    return df.join(found.select(F.col("_c").alias(conf), (value - margin).alias(name)), conf, "left")
+    found = both.join(F.broadcast(start), "_b").select("_c", F.coalesce(here, F.col("_t0")).alias("_h")).crossJoin(F.broadcast(first))
+    return df.join(found.select(F.col("_c").alias(conf), (accuracy(F.col("_h")) - margin).alias(name)), conf, "left")
 
 
 def threshold_sweep(df: DataFrame, conf: str, ok: str, thresholds: tuple[float, ...]) -> DataFrame:
@@ -166,7 +178,7 @@ def reject_sweep(df: DataFrame, conf: str, ok: str, position: str, fractions: tu
 
     Among equal confidences, the earlier position is kept.
     """
-    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=False, bounds=(0.0, 1.0))
+    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=False)
     f = F.explode(F.array(*[F.lit(float(x)) for x in fractions]))
     kept = F.greatest(F.lit(1).cast("long"), F.bround(F.col("total") * (1 - F.col("fraction")), 0).cast("long"))
     total = ranked.agg(F.max("total").alias("total")).where("total > 0").select("total", f.alias("fraction")).withColumn("kept", kept)
@@ -178,7 +190,7 @@ def reject_sweep_ascending(df: DataFrame, conf: str, ok: str, position: str, rat
 
     ``error`` of what is left is null if nothing is; ``floor`` is the confidence at the cut, else 1.
     """
-    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=True, bounds=(0.0, 1.0))
+    ranked = running(df.withColumn("_ok", F.col(ok).cast("long")), conf, ["_ok"], ties=(position,), ascending=True)
     totals = ranked.agg(F.max("total").alias("n"), F.max_by("run__ok", "rank").alias("hits")).where("n > 0")
     cut = totals.select("n", "hits", F.explode(F.array(*[F.lit(int(r)).cast("long") for r in rates])).alias("rate")).withColumn("dropped", F.bround(F.col("n") * F.col("rate") / 100, 0).cast("long"))
     step = ranked.select("rank", F.col("run__ok").alias("below"), F.col(conf).alias("c"), F.col("_ok").alias("one"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import renormalise, sigmoid
+from ..sources.shared import kept
 from .aggregates import exact_percentiles
 
 CLASSES = ("band", "wrap", "left", "right")
@@ -19,12 +20,13 @@ def impute_scale(df: DataFrame, names: list[str]) -> DataFrame:
 
     Medians are exact; both statistics are one row each and are broadcast.  A constant column gives 0.
     """
-    df = df.persist()  # medians, moments and rows all read it
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in names])).alias("e")).select("e.*")
+    slim = kept(df.select(*names))  # medians and moments read it, the rows' other columns do not
+    long = slim.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in names])).alias("e")).select("e.*")
     mids = exact_percentiles(long, ["name"], "v", [0.5])
     med = mids.agg(*[F.max(F.when(F.col("name") == c, F.get("q", F.lit(0)))).alias(f"_m_{c}") for c in names])
-    full = df.crossJoin(F.broadcast(med)).withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in names})
-    stats = full.agg(*[x for c in names for x in (F.avg(f"_f_{c}").alias(f"_a_{c}"), F.stddev_pop(f"_f_{c}").alias(f"_d_{c}"))])
+    filled = lambda d: d.crossJoin(F.broadcast(med)).withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in names})
+    full = filled(df)
+    stats = filled(slim).agg(*[x for c in names for x in (F.avg(f"_f_{c}").alias(f"_a_{c}"), F.stddev_pop(f"_f_{c}").alias(f"_d_{c}"))])
     out = full.crossJoin(F.broadcast(stats)).withColumns({f"z_{c}": F.when(F.col(f"_d_{c}") > 0, (F.col(f"_f_{c}") - F.col(f"_a_{c}")) / F.nullif(F.col(f"_d_{c}"), F.lit(0.0))).otherwise(0.0) for c in names})
     return out.select(*df.columns, *[f"z_{c}" for c in names])
 

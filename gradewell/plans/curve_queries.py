@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import half_even
 from ..operators import calibration as cal
 from ..operators import series
+from ..sources.shared import kept
 from .registry import query, table
 from .scored import SCORED_SQL, judged
 
@@ -156,7 +157,7 @@ def curve_lookup(spark, sf_dir):
     """Measured accuracy of the set that an item belongs to; above every point: of the whole."""
     from .scored import scored
 
-    s = scored(spark, sf_dir)
+    s = kept(scored(spark, sf_dir).select("doc_id", "conf", "ok", "truth"))  # scored once for the curve and the lookup
     out = cal.curve_lookup(s, cal.cumulative_curve(s.where("truth IS NOT NULL"), "conf", "ok", "doc_id"), "conf", "measured")
     return rounded(out.select("doc_id", "conf", "measured"), "conf")
 
@@ -167,7 +168,7 @@ def set_cut_lookup(spark, sf_dir):
     """Measured accuracy of all at least as confident, of 20 at least."""
     from .scored import scored
 
-    s = scored(spark, sf_dir)
+    s = kept(scored(spark, sf_dir).select("doc_id", "conf", "ok", "truth"))  # scored once for the steps and the lookup
     out = cal.set_cut_lookup(s, s.where("truth IS NOT NULL"), "conf", "conf", "ok", "doc_id", "measured")
     return rounded(out.select("doc_id", "conf", "measured"), "conf")
 

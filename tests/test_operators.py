@@ -190,3 +190,33 @@ def test_series(spark):
     marks = spark.createDataFrame([("k", 60.0 * i) for i in range(5)] + [("few", 1.0)], "k string, p double")
     best = series.dominant_period(series.comb_strength(marks, "k", "p"), "k").collect()
     assert [(r.k, r.period, round(r.strength, 9)) for r in best] == [("k", 60.0, 1.0)]
+
+
+def test_running_in_many_ranges(spark):
+    """Ranges by a sample of the order, ties included: a value that half the rows share is many ranges."""
+    rng = np.random.default_rng(2)
+    rows = [(i, 0.5 if i % 2 else float(rng.random()), int(rng.integers(0, 2))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "pos long, conf double, ok long").repartition(4)
+    for up in (True, False):
+        want = sorted(rows, key=lambda r: (r[1] if up else -r[1], r[0]))
+        got = sorted(ordered.running(df, "conf", ["ok"], ("pos",), up, range_rows=150).collect(), key=lambda r: r["rank"])
+        assert [r.pos for r in got] == [p for p, _, _ in want] and {r.total for r in got} == {2000}
+        assert [r.run_ok for r in got] == np.cumsum([o for _, _, o in want]).tolist()
+
+
+def test_set_cut_lookup_both_ways(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, round(float(rng.random()), 3), int(rng.integers(0, 2))) for i in range(1500)]
+    df = spark.createDataFrame(rows + [(9999, None, 1)], "pos long, conf double, ok int")
+    by = sorted(rows, key=lambda r: (-r[1], r[0]))
+    first = np.mean([o for _, _, o in by[:20]])
+
+    def want(c):
+        above = [o for _, x, o in rows if x >= c]
+        return np.mean(above) if len(above) >= 20 else first
+
+    probe = spark.createDataFrame([(0.0,), (0.3,), (0.5004,), (0.99,), (1.5,), (None,)], "conf double")
+    for most, block in ((65_536, 16), (65_536, 256), (10, 256)):
+        got = {r.conf: r.a for r in cal.set_cut_lookup(probe, df, "conf", "conf", "ok", "pos", "a", most=most, block=block).collect()}
+        assert got[None] is None and len(got) == 6
+        assert all(abs(got[c] - want(c)) < 1e-12 for c in got if c is not None)
