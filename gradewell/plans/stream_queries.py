@@ -80,3 +80,31 @@ def handshake_state(spark, sf_dir):
     s = e.select(F.col("user_id").alias("cell"), signal.alias("signal"), F.when(signal == "item", F.col("event_id")).otherwise(F.col("event_id") % 12).alias("value"), "ts")
     cell.run_to_folder(cell.handshake(s), f"{out}/rows", f"{out}/state")
     return spark.read.schema(cell.ORDER).parquet(f"{out}/rows")
+
+
+@query("""WITH r AS (SELECT c_custkey AS id, c_acctbal AS orden, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS turn FROM customer)
+SELECT id, orden, turn, CAST(turn % 9 AS INTEGER) AS place FROM r""")
+def feeder_queue(spark, sf_dir):
+    """The ordered queue dealt over nine places in turn."""
+    q = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("orden"))
+    return cell.feed(q, spark, 9, 0)
+
+
+@query("""WITH i AS (SELECT CAST(i % 9 AS INTEGER) AS place, md5(CAST(i AS VARCHAR)) AS h FROM range(0, 450) t(i))
+SELECT row_number() OVER (ORDER BY h, place) - 1 AS turn, place FROM i""")
+def feeder_pattern(spark, sf_dir):
+    """Without a queue: fifty items for each of nine places, in an order that looks random."""
+    return cell.feed(None, spark, 9, 50)
+
+
+@query("""WITH w AS (SELECT event_id AS cell, CAST(ts AS TIMESTAMP) AS asked, user_id FROM events WHERE event_type = 'signup'),
+h AS (SELECT w.cell, w.asked, min(CASE WHEN e.ts BETWEEN w.asked AND w.asked + INTERVAL 36000 SECOND AND e.event_type = 'purchase' THEN CAST(e.ts AS TIMESTAMP) END) AS at FROM w LEFT JOIN events e ON e.user_id = w.user_id GROUP BY 1, 2)
+SELECT cell, epoch_us(coalesce(at, asked + INTERVAL 36000 SECOND)) AS at, at IS NOT NULL AS met FROM h""")
+def wait_for_signal(spark, sf_dir):
+    """How long after each signup its user's signal turns to 'purchase', within ten hours."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    asks = e.where("event_type = 'signup'").select(F.col("user_id").alias("cell"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("name"), "event_id", F.col("ts").alias("asked"))
+    wanted = asks.select(F.col("cell"), F.lit("state").alias("signal"), F.lit(1).alias("value"), "asked", F.lit(36000.0).alias("seconds")).distinct()
+    signals = e.select(F.col("user_id").alias("cell"), F.lit("state").alias("signal"), F.when(F.col("event_type") == "purchase", "1").otherwise("bad").alias("value"), "ts")
+    out = cell.wait_until(signals, wanted)
+    return asks.join(out, ["cell", "asked"]).select(F.col("event_id").alias("cell"), F.unix_micros("at").alias("at"), "met")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,12 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", option
 
 
 def read_keyed_csv(spark: SparkSession, path: str, schema: str, key: str, sep: str = ",", optional: bool = False) -> DataFrame:
-    """``read_csv`` with one row per key: the last one wins."""
-    rows = read_csv(spark, path, schema, sep, optional).withColumn("_row", F.monotonically_increasing_id())
+    """``read_csv`` with one row per key: the last one wins, of the last file by its name.
+
+    A file with quoted line ends is read whole by one task, so row numbers rise within it.
+    """
+    raw = read_csv(spark, path, schema, sep, optional)
+    rows = raw.withColumn("_row", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     return last_per_key(rows, key, "_row").drop("_row")
 
 
@@ -212,12 +218,18 @@ def read_meshes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def memo(spark: SparkSession, folder: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A result kept as Parquet under a hash of its inputs; a missing or broken copy is built again."""
+    """A result kept as Parquet under a hash of its inputs; a missing or broken copy is built again.
+
+    All pages of a copy are read once before it is trusted: a broken part counts as none now, and does
+    not fail later, at the action.
+    """
     path = f"{folder}/{key}"
     if _glob(spark, f"{path}/_SUCCESS"):
         try:
-            return spark.read.parquet(path)
-        except Exception:  # a broken copy counts as none
+            copy = spark.read.parquet(path)
+            copy.agg(*[F.count(c) for c in copy.columns]).collect()
+            return copy
+        except (PySparkException, Py4JJavaError):
             pass
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -31,6 +31,43 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
     return n
 
 
+def write_document(spark: SparkSession, path: str, document: dict) -> None:
+    """One JSON document (a model's metadata, a curve) as a file: written beside its place, then renamed over it."""
+    jvm = spark.sparkContext._jvm
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = store.create(part, True)
+    out.write(bytearray(json.dumps(document, ensure_ascii=False, indent=1).encode()))
+    out.close()
+    store.delete(target, False)
+    store.rename(part, target)
+
+
+def first_new(df: DataFrame, path: str, key: str, n: int, order: str) -> DataFrame:
+    """The first ``n`` rows in order whose key the Parquet sink does not hold yet: a bounded step of a resumed run."""
+    if _glob(df.sparkSession, f"{path}/*.parquet"):
+        df = df.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti")
+    return df.orderBy(order).limit(n)
+
+
+class Report:
+    """Lines of a report: shown as they come, and kept for its file; ``step`` heads a part with its number."""
+
+    def __init__(self, show=print):
+        self.lines, self.steps, self.show = [], 0, show
+
+    def line(self, text: str = "") -> None:
+        self.lines.append(text)
+        self.show(text)
+
+    def step(self, title: str) -> None:
+        self.steps += 1
+        self.line(f"== {self.steps}. {title}")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(i, t) for i, t in enumerate(self.lines)], "i int, value string").coalesce(1).orderBy("i").select("value").write.mode("overwrite").text(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One JSON record per line; unknown fields are left out."""
     df.write.mode("overwrite").json(path)

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.decide import REVIEW
+from ..operators.ordered import running
 
 LEAF_WAIT_S, ACK_WAIT_S, MIN_STOP_S = 900, 60, 3.0  # fixed values of the cell
 
@@ -41,9 +43,58 @@ def run_to_folder(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Hand each micro-batch to ``handle(batch, epoch)``; a stop takes effect between batches only."""
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, stop: Callable[[], bool] | None = None) -> bool:
+    """Hand each micro-batch to ``handle(batch, epoch)``; whether all that is there was handled.
+
+    ``stop`` (a flag) is looked at before each batch: a batch in hand is always finished, what follows
+    stays for the next run, which goes on where this one stopped.
+    """
+
+    class Stopped(Exception):
+        pass
+
+    def guarded(batch: DataFrame, epoch: int) -> None:
+        if stop is not None and stop():
+            raise Stopped
+        handle(batch, epoch)
+
+    query = stream.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as error:
+        if "Stopped" not in str(error):
+            raise
+        return False
+    return True
+
+
+def feed(queue: DataFrame | None, spark: SparkSession, places: int, per_place: int, order: str = "orden", place: str = "place") -> DataFrame:
+    """What the feeder lays where: the ordered queue, dealt over the places in turn; without one, a random pattern.
+
+    With a queue each row gets ``turn`` (from 0, by ``order``) and ``place`` = turn mod places.  The
+    pattern has ``per_place`` items for each place, in an order that the MD5 of their number gives:
+    random to the eye, the same at each run.
+    """
+    if queue is not None:
+        ranked = running(queue, order, [], ties=tuple(c for c in queue.columns if c != order)).drop("total")
+        return ranked.withColumn("turn", F.col("rank") - 1).withColumn(place, F.pmod(F.col("turn"), F.lit(places)).cast("int")).drop("rank")
+    items = spark.range(places * per_place).select(F.pmod(F.col("id"), F.lit(places)).cast("int").alias(place), F.md5(F.col("id").cast("string")).alias("_h"))
+    ranked = running(items, "_h", [], ties=(place,)).select((F.col("rank") - 1).alias("turn"), place)
+    return ranked
+
+
+def wait_until(signals: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cell, signal, asked, at, met) of each wait ``wanted`` (cell, signal, value, asked, seconds): the first time that the signal has the value.
+
+    ``met`` is false, and ``at`` the end of the wait, where the value does not come within its
+    seconds; signals that can't be read as numbers count as 0.
+    """
+    value = F.coalesce(F.col("value").try_cast("int"), F.lit(0))
+    s = signals.select("cell", "signal", value.alias("_v"), "ts")
+    due = F.col("asked") + F.make_dt_interval(secs=F.col("seconds"))
+    w = wanted.withColumn("_due", due)
+    hit = w.join(s, ["cell", "signal"], "left").groupBy("cell", "signal", "asked", "value", "_due").agg(F.min(F.when((F.col("_v") == F.col("value")) & F.col("ts").between(F.col("asked"), F.col("_due")), F.col("ts"))).alias("_at"))
+    return hit.select("cell", "signal", "asked", F.coalesce("_at", "_due").alias("at"), F.col("_at").isNotNull().alias("met"))
 
 
 def log_batch(path: str) -> Callable[[DataFrame, int], None]:

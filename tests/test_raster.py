@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gradewell.operators import geometry, raster, scale
+from gradewell.operators import geometry, learning, photo, raster, scale
 from gradewell.operators import kernels as K
 from gradewell.sources.files import pack_mask
 
@@ -239,3 +239,42 @@ def test_wide_median_is_of_the_whole_window():
     p = np.pad(a, 15, mode="edge")
     slow = [[np.median(p[y : y + 31, x : x + 31]) for x in range(17)] for y in range(12)]
     assert kernels.median_around(a, 31).tolist() == slow
+
+
+def model(names, weights, intercept):
+    return learning.LinearModel(names, dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0), dict(zip(names, weights)), intercept)
+
+
+def test_pictures_to_bins(spark):
+    """Measured, scored, decided and routed; what fails goes to review with its reason."""
+    rows = [("whole", 240, 400, bytearray(leaf().tobytes()), "north"), ("holed", 240, 400, bytearray(leaf(holes=[(100, 180, 9), (130, 240, 8)]).tobytes()), "south")]
+    rows += [("dark", 60, 60, bytearray(np.zeros((60, 60, 3), np.uint8).tobytes()), "north"), ("broken", 5, 5, bytearray(b"x"), "north"), ("other", 240, 400, bytearray(leaf().tobytes()), "unknown")]
+    images = spark.createDataFrame(rows, "path string, h int, w int, rgb binary, variety string")
+    nodes = {"p_band": model(["n_holes"], [8.0], -4.0), "p_wrap": model(["solidity"], [9.0], -3.0), "p_left": model(["mean_l"], [0.0], 0.0)}
+    got = {r.path: r for r in photo.decide_pictures(images, nodes).collect()}
+    assert len(got) == 5
+    assert (got["whole"].label, got["whole"].bin, got["whole"].reason) == ("wrap", 2, None)
+    assert (got["holed"].label, got["holed"].bin) == ("band", 5)
+    assert got["dark"].bin == 9 and got["dark"].reason == "no leaf"
+    assert got["broken"].bin == 9 and "Error" in got["broken"].reason
+    assert got["other"].bin == 9 and got["other"].label == "wrap"  # no bin for that variety
+    sure = {r.path: r for r in photo.decide_pictures(images.where("path = 'whole'"), nodes, floor=0.9999).collect()}
+    assert sure["whole"].bin == 9 and "under" in sure["whole"].reason
+
+
+def test_marks_and_speck_calibration():
+    clean, specks = leaf(), [(100, 120 + 30 * i, 4) for i in range(5)]
+    spotted = leaf(green=specks)
+    marks = photo.marks_between(spotted, clean)
+    assert abs(int(marks.sum()) - 5 * 49) < 30 and marks[100, 120] and not photo.marks_between(clean, clean).any()
+    mask = raster.leaf_mask(spotted)[0]
+    table = photo.calibrate_specks(raster.greenness(K.to_lab(spotted), mask), mask, marks, (0.5, 2.0, 50.0))
+    assert table[0]["recall"] >= table[1]["recall"] > 0.5 and table[2]["found"] == 0 and table[2]["f1"] == 0
+
+
+def test_vein_batch(spark):
+    rows = [(p, 240, 400, bytearray(leaf().tobytes())) for p in "abc"] + [("d", 1, 1, bytearray(b""))]
+    images = spark.createDataFrame(rows, "path string, h int, w int, rgb binary")
+    labels = spark.createDataFrame([("a", "wrap"), ("b", "left"), ("c", "wrap"), ("d", "wrap")], "path string, label string")
+    got = {r.path: r for r in photo.vein_batch(images, labels, ["wrap"], images.where("path = 'c'")).collect()}
+    assert set(got) == {"a", "d"} and abs(got["a"].vein_asym) < 0.2 and got["d"].error

@@ -109,3 +109,41 @@ def test_memo(spark, tmp_path):
     for _ in range(2):
         assert files.memo(spark, str(tmp_path), key, build).count() == 3
     assert len(made) == 1
+
+
+def test_documents_reports_and_first_new(spark, tmp_path):
+    import json
+
+    path = str(tmp_path / "meta.json")
+    for version in (1, 2):
+        sinks.write_document(spark, path, {"model": "nodes", "version": version, "curve": [[0.5, 0.9]]})
+    assert json.loads(open(path).read()) == {"model": "nodes", "version": 2, "curve": [[0.5, 0.9]]}
+    todo, sink = spark.range(10).withColumnRenamed("id", "k"), str(tmp_path / "sink")
+    for want in ([0, 1, 2, 3], [4, 5, 6, 7], [8, 9], []):
+        step = sinks.first_new(todo, sink, "k", 4, "k")
+        assert sorted(r.k for r in step.collect()) == want
+        sinks.append_new(step, sink, "k")
+    shown = []
+    report = sinks.Report(shown.append)
+    report.step("Load")
+    report.line("3 rows")
+    report.save(spark, str(tmp_path / "report"))
+    assert shown == report.lines == ["== 1. Load", "3 rows"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == shown
+
+
+def test_a_copy_with_a_broken_part_is_built_again(spark, tmp_path):
+    folder, built = str(tmp_path / "memo"), []
+
+    def build():
+        built.append(1)
+        return spark.range(100).repartition(2)
+
+    assert files.memo(spark, folder, "k", build).count() == 100 and files.memo(spark, folder, "k", build).count() == 100 and len(built) == 1
+    part = next((tmp_path / "memo" / "k").glob("*.parquet"))
+    raw = bytearray(part.read_bytes())
+    raw[4:60] = bytes(56)  # the footer stays whole
+    part.write_bytes(raw)
+    for crc in (tmp_path / "memo" / "k").glob(".*.crc"):
+        crc.unlink()
+    assert files.memo(spark, folder, "k", build).count() == 100 and len(built) == 2

@@ -79,3 +79,23 @@ def test_handshake(spark, tmp_path):
     rows = sorted((r.cell, r["at"] - t0, r.item, r.code, r.state) for r in got.collect())
     assert rows[:5] == [(1, 5, 7, 3, "taken"), (1, 8, 7, 3, "closed"), (1, 30, 8, 9, "taken"), (1, 31, 8, 9, "closed"), (2, 900, 9, 9, "timeout")]
     assert (3, 5900, 1, 9, "timeout") in rows
+
+
+def test_a_stop_takes_effect_between_batches(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    handle = lambda batch, epoch: seen.append(sorted(r.id for r in batch.collect()))
+    assert cell.run_batches(stream(), handle, str(tmp_path / "state"), stop=lambda: len(seen) >= 2) is False
+    assert len(seen) == 2
+    assert cell.run_batches(stream(), handle, str(tmp_path / "state")) is True
+    assert sorted(sum(seen, [])) == list(range(30)) and len(seen) == 3
+
+
+def test_waiting_for_a_signal(spark):
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    signals = spark.createDataFrame([(1, "x", "0", at(1)), (1, "x", "7", at(5)), (1, "x", "7", at(9)), (2, "x", "junk", at(3))], "cell int, signal string, value string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    wanted = spark.createDataFrame([(1, "x", 7, at(0), 20.0), (1, "x", 7, at(6), 2.0), (2, "x", 0, at(0), 10.0), (3, "x", 1, at(0), 1.0)], "cell int, signal string, value int, asked string, seconds double").withColumn("asked", F.col("asked").cast("timestamp"))
+    got = {(r.cell, r.asked.second): (r.at.second, r.met) for r in cell.wait_until(signals, wanted).collect()}
+    assert got == {(1, 0): (5, True), (1, 6): (8, False), (2, 0): (3, True), (3, 0): (1, False)}
