@@ -121,7 +121,7 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Mann-Whitney AUC by rank sums, ties counted half.
 
     Works on counts per distinct score: positives below are a running sum over score values, taken in
-    1024 ranges so that no task orders all of them.
+    ranges so that no task orders all of them.
     """
     per = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("q"))
     from .ordered import running
@@ -132,7 +132,11 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
-    """First 16 hex digits of the SHA-256 over a group's values in order, each followed by a bar."""
+    """First 16 hex digits of the SHA-256 over a group's values in order, each followed by a bar.
+
+    One digest over the values in order needs a group's values in one row: for groups of up to some
+    ten million values.
+    """
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v")))), lambda e: F.concat(e["v"], F.lit("|")))
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.substring(F.sha2(F.array_join(listed, ""), 256), 1, 16).alias("fingerprint"))
 

@@ -308,6 +308,12 @@ def stains(rgb: np.ndarray, mask: np.ndarray, holes: np.ndarray | None = None, l
     return {k: K.closed(K.opened(m & free, 3), 3) for k, m in found.items()}
 
 
+def box_of(mask: np.ndarray, margin: int) -> tuple[slice, slice]:
+    """The part of the picture that holds the mask and ``margin`` pixels around it."""
+    ys, xs = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    return slice(max(0, ys[0] - margin), ys[-1] + margin + 1), slice(max(0, xs[0] - margin), xs[-1] + margin + 1)
+
+
 SWEAT = ("sud_frac", "sud_n", "sud_dens", "sud_verdor_p95", "sud_verdor_med")
 
 
@@ -510,10 +516,12 @@ def measure(rgb: np.ndarray, tape: float | None = None, tape_inches: float = 1.0
             defects.append({"kind": kind, "zone": place, "area": int(p.shape[1]), "t": t, "s": s, "depth": depth})
     energy, side, greener = K.gradient_energy(lab[..., 0]), vein_side(mask), greenness(lab, mask)
     halves = {"left": side == 1, "right": side == -1}
+    box = box_of(mask, 2)  # specks lie on the leaf: what is far from it need not be looked at
+    near = rgb[box], mask[box]
     out |= {
         "solidity": float(mask.sum() / K.hull(mask).sum()), "touches": float(mask[0].any() or mask[-1].any() or mask[:, 0].any() or mask[:, -1].any()), "mark_share": float(marker_mask(rgb)[mask].mean()),
         **colour_measures(lab, energy, mask), **{f"{k}_{m}": v for k, half in halves.items() for m, v in colour_measures(lab, energy, half).items()},
-        **sweat(rgb, mask, greener=greener), **sweat_by_deviation(rgb, mask, greener=greener), **sweat_by_side(rgb, mask, greener=greener), "base_margin": float(frame["margin"]),
+        **sweat(*near, greener=greener[box]), **sweat_by_deviation(*near, greener=greener[box]), **sweat_by_side(*near, greener=greener[box]), "base_margin": float(frame["margin"]),
         **{f"n_{k}s": float(sum(d["kind"] == k for d in defects)) for k in ("hole", "tear", "bite")},
         "tape": tape, "tilt": float(np.degrees(np.arctan2(frame["axis"][1], frame["axis"][0]))), "vein_asym": vein_asymmetry(lab[..., 0], mask),
     }
@@ -549,6 +557,8 @@ def measure_pictures(images: DataFrame, tape: str | None = None) -> DataFrame:
 
 def vein_asymmetry(light: np.ndarray, mask: np.ndarray) -> float:
     """Share of strong ridges left of the axis less that on the right; mirrored pictures change its sign."""
+    box = box_of(mask, 32)  # farther than a ridge's window reaches
+    light, mask = light[box], mask[box]
     frame = leaf_frame(mask)
     r = K.ridge(light)[frame["ys"], frame["xs"]]
     strong = r >= np.percentile(r, 90)

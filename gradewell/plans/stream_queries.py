@@ -98,8 +98,8 @@ def feeder_pattern(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT event_id AS cell, CAST(ts AS TIMESTAMP) AS asked, user_id FROM events WHERE event_type = 'signup'),
-h AS (SELECT w.cell, w.asked, min(CASE WHEN e.ts BETWEEN w.asked AND w.asked + INTERVAL 36000 SECOND AND e.event_type = 'purchase' THEN CAST(e.ts AS TIMESTAMP) END) AS at FROM w LEFT JOIN events e ON e.user_id = w.user_id GROUP BY 1, 2)
-SELECT cell, epoch_us(coalesce(at, asked + INTERVAL 36000 SECOND)) AS at, at IS NOT NULL AS met FROM h""")
+h AS (SELECT w.cell, w.asked, min(CASE WHEN e.ts BETWEEN w.asked AND w.asked + INTERVAL 36000 SECOND AND e.event_type = 'purchase' THEN CAST(e.ts AS TIMESTAMP) END) AS hit FROM w LEFT JOIN events e ON e.user_id = w.user_id GROUP BY 1, 2)
+SELECT cell, epoch_us(coalesce(hit, asked + INTERVAL 36000 SECOND)) AS seen_at, hit IS NOT NULL AS met FROM h""")
 def wait_for_signal(spark, sf_dir):
     """How long after each signup its user's signal turns to 'purchase', within ten hours."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -107,4 +107,4 @@ def wait_for_signal(spark, sf_dir):
     wanted = asks.select(F.col("cell"), F.lit("state").alias("signal"), F.lit(1).alias("value"), "asked", F.lit(36000.0).alias("seconds")).distinct()
     signals = e.select(F.col("user_id").alias("cell"), F.lit("state").alias("signal"), F.when(F.col("event_type") == "purchase", "1").otherwise("bad").alias("value"), "ts")
     out = cell.wait_until(signals, wanted)
-    return asks.join(out, ["cell", "asked"]).select(F.col("event_id").alias("cell"), F.unix_micros("at").alias("at"), "met")
+    return asks.join(out, ["cell", "asked"]).select(F.col("event_id").alias("cell"), F.unix_micros("at").alias("seen_at"), "met")

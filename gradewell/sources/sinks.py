@@ -79,7 +79,11 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def partition_document(folds: DataFrame, name: str, seed: int) -> DataFrame:
-    """The partition document of (fold, id): sorted test ids per fold, counts and the fingerprint of all ids."""
+    """The partition document of (fold, id): sorted test ids per fold, counts and the fingerprint of all ids.
+
+    The document is one JSON record by its format, so all ids (of groups, not rows) are in one row:
+    for up to some ten million groups.
+    """
     lists = folds.groupBy("fold").agg(F.sort_array(F.collect_set(F.col("id").cast("string"))).alias("test"))
     row = lists.agg(F.array_sort(F.collect_list(F.struct("fold", "test"))).alias("f"))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("f", lambda e: e["test"]))))
