@@ -22,7 +22,7 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, shares: list
     n / accuracy, and the bracket is twice that wide on either side, so the wanted ranks are in it.
     Null values don't count; a group without values has none of its own rows here.
     """
-    rows = kept(df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()))
+    rows = kept(df.select(*groups, F.col(value).cast("double").alias("_v"))).where(F.col("_v").isNotNull())
     room = 2 / accuracy
     ends = [x for q in shares for x in (max(0.0, q - room), min(1.0, q + room))]
     sketch = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_e"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))

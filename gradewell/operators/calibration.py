@@ -136,7 +136,7 @@ def set_cut_lookup(df: DataFrame, measured: DataFrame, conf: str, inside_conf: s
     a row finds its place by an ordered union with the steps in confidence ranges.  Neither compares
     all pairs.  A null confidence gets null.
     """
-    rows = kept(measured.select(F.col(inside_conf).alias("_c"), F.col(position).alias("_p"), F.col(ok).cast("long").alias("_ok")).where("_c IS NOT NULL"))
+    rows = kept(measured.select(F.col(inside_conf).alias("_c"), F.col(position).alias("_p"), F.col(ok).cast("long").alias("_ok"))).where("_c IS NOT NULL")
     top = rows.orderBy(F.desc("_c"), "_p").limit(least)  # the fewest rows that a figure may rest on
     first = top.agg(F.avg("_ok").alias("_acc0"), F.count(F.lit(1)).alias("_r0")).where("_r0 > 0")
     per = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), F.sum("_ok").alias("_s"))

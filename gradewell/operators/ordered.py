@@ -26,7 +26,8 @@ def running(df: DataFrame, order: str, sums: list[str], ties: tuple[str, ...] =
     The few columns are written to the shared folder with the number of their range, since totals and
     rows both read them.
     """
-    rows = kept(df.where(F.col(order).isNotNull()).select(*dict.fromkeys([order, *ties, *sums])))
+    # unknown values go after the writing: a filter before it would work the order column out twice
+    rows = kept(df.select(*dict.fromkeys([order, *ties, *sums]))).where(F.col(order).isNotNull())
     n = rows.count()
     by = [F.col(order).asc() if ascending else F.col(order).desc(), *[F.asc(t) for t in ties]]
     parts = -(-n // range_rows)
