@@ -42,14 +42,34 @@ def mask_metrics(on: DataFrame, height: int, width: int) -> DataFrame:
                     ((F.col("y0") == 0) | (F.col("x0") == 0) | (F.col("y1") == height - 1) | (F.col("x1") == width - 1)).alias("touches"))
 
 
+def _moments(places: Column) -> Column:
+    """(a, c, b): sums of squares of x and of y and of their products about the means, by running means in the order of ``places``."""
+
+    def step(m, p):
+        n = m["n"] + 1.0
+        mx, my = m["mx"] + (p["x"] - m["mx"]) / n, m["my"] + (p["y"] - m["my"]) / n
+        return F.struct(n.alias("n"), mx.alias("mx"), my.alias("my"), (m["a"] + (p["x"] - mx) * (p["x"] - m["mx"])).alias("a"), (m["c"] + (p["y"] - my) * (p["y"] - m["my"])).alias("c"),
+                        (m["b"] + (p["y"] - m["my"]) * (p["x"] - mx)).alias("b"))
+
+    return F.aggregate(places, F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mx", "my", "a", "c", "b")]), step)
+
+
 def axes(on: DataFrame) -> DataFrame:
-    """(id, n, mx, my, ex, ey): centroid and the main axis, its y not negative, from the sample covariance in closed form."""
-    m = on.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("a"), F.var_samp("y").alias("c"), F.covar_samp("x", "y").alias("b"))
-    m = m.where("n > 1").withColumn("l", (F.col("a") + F.col("c")) / 2 + F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, 2) + F.col("b") * F.col("b")))
+    """(id, n, mx, my, ex, ey): centroid and the main axis, its y not negative, from the sample covariance in closed form.
+
+    A mask that spreads alike both ways has no main axis but for the last bit of its variances, so these
+    are summed row by row, left to right, however the pixels are dealt over tasks: the places of a
+    picture's mask are gathered.
+    """
+    places = F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("y", "x")])))
+    m = on.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), places.alias("_p")).where("n > 1")
+    m = m.withColumn("_m", _moments(F.col("_p"))).select("id", "n", "mx", "my", *[(F.col("_m")[c] / (F.col("n") - 1)).alias(c) for c in ("a", "c", "b")])
+    half = (F.col("a") - F.col("c")) / 2
+    m = m.withColumn("l", (F.col("a") + F.col("c")) / 2 + F.sqrt(half * half + F.col("b") * F.col("b")))
     flat = F.abs("b") < 1e-12
     vx = F.when(flat, F.when(F.col("a") >= F.col("c"), 1.0).otherwise(0.0)).otherwise(F.col("b"))
     vy = F.when(flat, F.when(F.col("a") >= F.col("c"), 0.0).otherwise(1.0)).otherwise(F.col("l") - F.col("a"))
-    m = m.withColumn("vx", vx).withColumn("vy", vy).withColumn("_n", F.hypot("vx", "vy")).withColumn("_s", F.when(F.col("vy") < 0, -1.0).otherwise(1.0))
+    m = m.withColumn("vx", vx).withColumn("vy", vy).withColumn("_n", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).withColumn("_s", F.when(F.col("vy") < 0, -1.0).otherwise(1.0))
     return m.select("id", "n", "mx", "my", (F.col("_s") * F.col("vx") / F.col("_n")).alias("ex"), (F.col("_s") * F.col("vy") / F.col("_n")).alias("ey"))
 
 
