@@ -23,7 +23,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["axis_profile", "width_profile"])
+@pytest.mark.parametrize("name", ["axis_profile", "width_profile", "zone_assign"])
 def test_ties_as_in_sql(spark, folder, name):
     con = duckdb.connect()
     con.execute("SET threads = 1")  # with more, it may add up a mask in two parts
