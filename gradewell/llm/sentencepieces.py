@@ -31,6 +31,11 @@ SPACE = "▁"
 LONG = 96  # characters from which a word is cut into parts, and a part has a heap of its own
 _ALL = (1 << 64) - 1
 GROUP_CHARS = 3 << 19
+DEEP = 5  # merges that a case does without, at most; beyond, each occurrence merges by itself
+SHARED = 2  # occurrences from which the merges of a case are made once for all
+BLOCK = 1 << 14
+MERGED_CHARS = 1 << 16
+SLOT_BITS = 20
 _MODELS: dict[str, Pieces] = {}
 
 
@@ -76,6 +81,11 @@ class Pieces:
         by = np.argsort(keys)
         self.keys, self.made, self.rank = keys[by], np.array(made, dtype=np.int64)[by], np.array(rank, dtype=np.int64)[by]
         self.merges = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist())))
+        # where a pair's merge is, by a hash: -1 for none, -2 where several share the slot
+        self.slots = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        slot = self._slot(self.keys)
+        self.slots[slot] = np.arange(len(slot))
+        self.slots[np.flatnonzero(np.bincount(slot, minlength=1) > 1)] = -2
         self.char_id = np.full(0x110001, -1, dtype=np.int64)
         for p, i in ids.items():
             if len(p) == 1:
@@ -86,6 +96,20 @@ class Pieces:
         side = {ids[a] * self.size + ids[b] for p in order for a, b in zip(p, p[1:])}
         self.side = np.array(sorted(side), dtype=np.int64)  # characters that stand side by side in some piece
 
+    @staticmethod
+    def _slot(pair: np.ndarray) -> np.ndarray:
+        return (pair.astype(np.uint64) * _MUL >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def merge_of(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, at): the pairs that merge, and their merges' places in the table."""
+        at = self.slots[self._slot(pair)]
+        many = np.flatnonzero(at == -2)
+        at[many] = np.minimum(np.searchsorted(self.keys, pair[many]), len(self.keys) - 1)
+        which = np.flatnonzero(at >= 0)
+        at = at[which]
+        ok = self.keys[at] == pair[which]
+        return which[ok], at[ok]
+
     def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Where no piece holds the two characters side by side."""
         pair = left * self.size + right
@@ -103,7 +127,15 @@ def _skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.nda
     """Whether the keyed hash skips the candidates [start, middle) + [middle, end)."""
     if dropout <= 0:
         return np.zeros(len(key), dtype=bool)
-    h = key ^ ((start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64))
+    return _below(key ^ _place(start, middle, end), dropout)
+
+
+def _place(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A candidate's place in its word as one number."""
+    return (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
+
+
+def _below(h: np.ndarray, dropout: float) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
     h = (h ^ (h >> np.uint64(27))) * _MUL
     return (h ^ (h >> np.uint64(31))) < np.uint64(_limit(dropout))
@@ -153,12 +185,30 @@ def merge_agenda(model: Pieces, symbols: list[int], key: int, dropout: float, ba
     return [(sym[i], i) for i in range(n) if alive[i]]
 
 
-def merge_words(model: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float, base: np.ndarray | None = None):
+def merge_words(model: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float, base: np.ndarray | None = None, without: list[np.ndarray] | None = None, made_at: list | None = None):
     """Pieces of many words: (id, start in its word, word), in order of words and places.
 
     ``symbols`` are the character ids (-1: none) of consecutive words of ``sizes``; ``base`` are the
-    places of parts in the words whose keys they have.
+    places of parts in the words whose keys they have.  ``without``: instead of skips by keys, places of
+    candidates that each word does without; the merges made are then added to ``made_at``, (word, place)
+    a round.
     """
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.searchsorted(ends, np.arange(MERGED_CHARS, int(sizes.sum()) + MERGED_CHARS, MERGED_CHARS)).clip(max=len(sizes) - 1) + 1) if len(sizes) else []
+    parts, low = [], 0
+    for high in cuts:  # words whose tables fit a core's own memory
+        at = slice(int(ends[low] - sizes[low]), int(ends[high - 1]))
+        log = None if made_at is None else []
+        sym, start, word = _merge_some(model, symbols[at], sizes[low:high], keys[low:high], dropout, None if base is None else base[low:high], None if without is None else [x[low:high] for x in without], log)
+        parts.append((sym, start, word + low))
+        if log:
+            made_at.extend((w + low, spot) for w, spot in log)
+        low = high
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def _merge_some(model: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float, base, without, made_at):
+    """``merge_words`` of words that are few enough."""
     word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     start = (np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
     end, sym = start + np.int32(1), symbols.astype(np.int32)
@@ -176,18 +226,25 @@ def merge_words(model: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.
         some = (word[f] == word[f + 1]) & (left >= 0) & (right >= 0)
         f = f[some]
         pair = left[some].astype(np.int64) * model.size + right[some]
-        at = np.minimum(np.searchsorted(model.keys, pair), len(model.keys) - 1)
-        ok = model.keys[at] == pair
-        f, at = f[ok], at[ok]
+        ok, at = model.merge_of(pair)
+        f = f[ok]
         shift = 0 if base is None else base[word[f]]
-        keep = ~_skipped(keys[word[f]], start[f] + shift, start[f + 1] + shift, end[f + 1] + shift, dropout)
-        f, at = f[keep], at[keep]
+        if without is None:
+            keep = ~_skipped(keys[word[f]], start[f] + shift, start[f + 1] + shift, end[f + 1] + shift, dropout)
+            f, at = f[keep], at[keep]
+        elif without:
+            spot, keep = _place(start[f], start[f + 1], end[f + 1]), np.ones(len(f), dtype=bool)
+            for gone in without:
+                keep &= gone[word[f]] != spot
+            f, at = f[keep], at[keep]
         rank[f] = model.rank[at] << 24 | start[f]  # best score first, then leftmost
         made[f] = new_made[at]
         head = np.flatnonzero(np.diff(word, prepend=np.int32(-1)))
         best = np.minimum.reduceat(rank, head)
         span = np.diff(head, append=len(sym))
         win = np.flatnonzero((rank == np.repeat(best, span)) & (rank != none))
+        if made_at is not None:
+            made_at.append((word[win], _place(start[win], start[win + 1], end[win + 1])))
         sym[win], end[win] = made[win], end[win + 1]
         stay = np.ones(len(sym), dtype=bool)
         stay[win + 1] = False
@@ -224,67 +281,134 @@ def _spell(model: Pieces, sym: np.ndarray, codes: np.ndarray, owner: np.ndarray,
     return out, np.bincount(owner, weights=width, minlength=words).astype(np.int64)
 
 
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges that begin at ``first``, one range after the other."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _merged(model: Pieces, sym: np.ndarray, lengths: np.ndarray, keys: np.ndarray, dropout: float):
+    """Pieces of words of any length: (id, place among all characters, word), in order of places."""
+    first = np.cumsum(lengths) - lengths
+    long = lengths > LONG
+    if not long.any():
+        got, start, word = merge_words(model, sym, lengths, keys, dropout)
+        return got, first[word] + start, word
+    # words and parts of long words, in order
+    at = np.flatnonzero(np.repeat(long, lengths))
+    inner = np.ones(len(at), dtype=bool)
+    inner[np.searchsorted(at, first[long])] = False  # beginnings of words
+    new = at[~inner | model.apart(sym[at - 1], sym[at])]
+    part = np.sort(np.concatenate([first[~long], new]))
+    of = np.searchsorted(first, part, side="right") - 1
+    size, base = np.diff(part, append=len(sym)), part - first[of]
+    big = size > LONG
+    small = np.repeat(~big, size)
+    got, start, which = merge_words(model, sym[small], size[~big], keys[of[~big]], dropout, base[~big])
+    del small
+    places, ids = [part[~big][which] + start], [got]
+    for w in np.flatnonzero(big).tolist():
+        alone = merge_agenda(model, sym[part[w] : part[w] + size[w]].tolist(), int(keys[of[w]]), dropout, int(base[w]))
+        ids.append(np.array([a for a, _ in alone], dtype=np.int64))
+        places.append(part[w] + np.array([b for _, b in alone], dtype=np.int64))
+    got, place = np.concatenate(ids), np.concatenate(places)
+    if big.any():
+        order = np.argsort(place)
+        got, place = got[order], place[order]
+    return got, place, np.searchsorted(first, place, side="right") - 1
+
+
 def encode_texts(model: Pieces, texts: list[str], salts: np.ndarray, dropout: float, seed: int = 0) -> list[np.ndarray]:
-    """Ids of each text.  ``salts``: a number for each text; the key of a word is by its characters, that, its place and the seed."""
+    """Ids of each text.  ``salts``: a number for each text; the key of a word is by its characters, that, its place and the seed.
+
+    An occurrence of a word that skips none of the merges made without dropout has the pieces made
+    without, whatever else it skips.  One that skips some does without the first of these; all that skip
+    the same one first share the merges made without it, and so on.  So the merges of a word are made
+    once for each such case, and an occurrence only looks which case it is; the only one of its case, and
+    one that skips many, merges by itself.
+    """
     units = [model.units.findall(" " + t) if t else [] for t in texts]
     sizes = np.array([len(u) for u in units], dtype=np.int64)
     n = int(sizes.sum())
     if not n:
         return [np.zeros(0, dtype=np.int64) for _ in texts]
-    if dropout <= 0:  # only then are the pieces of a word the same everywhere
-        number: dict[str, int] = {}
-        inverse = np.fromiter(map(number.setdefault, chain.from_iterable(units), count()), dtype=np.int64, count=n)
-        first, inverse = np.unique(inverse, return_inverse=True)
-        names = dict(zip(number.values(), number))
-        words = list(map(names.__getitem__, first.tolist()))
-    else:
-        words, inverse = list(chain.from_iterable(units)), None
+    number: dict[str, int] = {}
+    inverse = np.fromiter(map(number.setdefault, chain.from_iterable(units), count()), dtype=np.int64, count=n)
     del units
+    inverse = (np.cumsum(inverse == np.arange(n)) - 1)[inverse]
+    words = list(number)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    del words, number
     first = np.cumsum(lengths) - lengths
-    keys = np.zeros(len(words), dtype=np.uint64)
-    if dropout > 0:
-        del words
-        place = np.arange(len(codes)) - np.repeat(first, lengths)
-        keys = np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * _power(place), first)
-        del place
-        keys ^= np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1)
-        spot = np.repeat(salts.astype(np.uint64), sizes) + (np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1).astype(np.uint64) * _MUL
-        keys = (keys ^ (spot ^ (spot >> np.uint64(31))) * _MIX) * _MUL
     sym = model.char_id[codes]
-    long = lengths > LONG
-    if long.any():  # words and parts of long words, in order
-        at = np.flatnonzero(np.repeat(long, lengths))
-        inner = np.ones(len(at), dtype=bool)
-        inner[np.searchsorted(at, first[long])] = False  # beginnings of words
-        new = at[~inner | model.apart(sym[at - 1], sym[at])]
-        part = np.sort(np.concatenate([first[~long], new]))
-        of = np.searchsorted(first, part, side="right") - 1
-        size, base = np.diff(part, append=len(codes)), part - first[of]
-        big = size > LONG
-        small = np.repeat(~big, size)
-        got, start, which = merge_words(model, sym[small], size[~big], keys[of[~big]], dropout, base[~big])
-        del small
-        places, ids = [part[~big][which] + start], [got]
-        for w in np.flatnonzero(big).tolist():
-            alone = merge_agenda(model, sym[part[w] : part[w] + size[w]].tolist(), int(keys[of[w]]), dropout, int(base[w]))
-            ids.append(np.array([a for a, _ in alone], dtype=np.int64))
-            places.append(part[w] + np.array([b for _, b in alone], dtype=np.int64))
-        got, place = np.concatenate(ids), np.concatenate(places)
-        if big.any():
-            order = np.argsort(place)
-            got, place = got[order], place[order]
-        word = np.searchsorted(first, place, side="right") - 1
+    begin, size, flat, total = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), [], 0
+
+    def settle(got, place, word, which, rows, case):
+        """Gives the rows the pieces of their cases; ``place`` is among the characters of the words."""
+        nonlocal total
+        ids, wide = _spell(model, got, codes[place], word, which)
+        begin[rows], size[rows] = (total + np.cumsum(wide) - wide)[case], wide[case]
+        flat.append(ids)
+        total += len(ids)
+
+    if dropout <= 0:  # the pieces of a word are the same everywhere
+        settle(*_merged(model, sym, lengths, np.zeros(len(lengths), dtype=np.uint64), 0.0), len(lengths), slice(None), inverse)
     else:
-        got, start, word = merge_words(model, sym, lengths, keys, dropout)
-        place = first[word] + start
-    flat, size = _spell(model, got, codes[place], word, len(lengths))
-    if inverse is not None:
-        begin, size = (np.cumsum(size) - size)[inverse], size[inverse]
-        flat = flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        keys = np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * _power(np.arange(len(codes)) - np.repeat(first, lengths)), first)
+        keys ^= np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1)
+        spot = np.repeat(salts.astype(np.uint64), sizes) + (np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1).astype(np.uint64) * _MUL
+        keys = (keys[inverse] ^ (spot ^ (spot >> np.uint64(31))) * _MIX) * _MUL
+        del spot
+        long = lengths > LONG
+        alone = [np.flatnonzero(long[inverse])]
+        rows = np.flatnonzero(~long[inverse])
+        of, without, case = np.arange(len(lengths)), [], inverse[rows]  # the word of each case, what it does without, and the case of each row
+        while True:
+            often = np.bincount(case, minlength=len(of)) >= SHARED
+            shared = often[case]
+            alone.append(rows[~shared])
+            rows, case = rows[shared], (np.cumsum(often) - 1)[case[shared]]
+            of, without = of[often], [x[often] for x in without]
+            if not len(rows) or len(without) == DEEP:
+                alone.append(rows)
+                break
+            at, made_at = _ranges(first[of], lengths[of]), []
+            got, start, word = merge_words(model, sym[at], lengths[of], keys[:0], 0.0, without=without, made_at=made_at)
+            owner, spot = (np.concatenate(x) for x in zip(*made_at))
+            order = np.argsort(owner, kind="stable")
+            owner, spot = owner[order], spot[order]
+            merges = np.bincount(owner, minlength=len(of))
+            start_of = np.cumsum(merges) - merges
+            row, path = [], []
+            for k in range(0, len(rows), BLOCK):
+                c = case[k : k + BLOCK]
+                m = merges[c]
+                step = _ranges(start_of[c], m)
+                hit = np.flatnonzero(_below(np.repeat(keys[rows[k : k + BLOCK]], m) ^ spot[step], dropout))
+                who = np.searchsorted(np.cumsum(m), hit, side="right")
+                one = np.flatnonzero(np.diff(who, prepend=-1))  # the first merge that it skips
+                row.append(k + who[one])
+                path.append(step[hit[one]])
+            row, path = np.concatenate(row), np.concatenate(path)
+            done = np.ones(len(rows), dtype=bool)
+            done[row] = False
+            settle(got, first[of[word]] + start, word, len(of), rows[done], case[done])
+            rows = rows[row]
+            kinds = np.zeros(len(spot), dtype=bool)
+            kinds[path] = True
+            case = (np.cumsum(kinds) - 1)[path]
+            kinds = np.flatnonzero(kinds)
+            without = [*(x[owner[kinds]] for x in without), spot[kinds]]
+            of = of[owner[kinds]]
+        rows = np.concatenate(alone)
+        if len(rows):
+            its = inverse[rows]
+            at = _ranges(first[its], lengths[its])
+            got, place, word = _merged(model, sym[at], lengths[its], keys[rows], dropout)
+            settle(got, at[place], word, len(rows), rows, slice(None))
+    ids = np.concatenate(flat)[_ranges(begin, size)]
     ends = np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), sizes), weights=size, minlength=len(texts)).astype(np.int64))
-    return np.split(flat, ends[:-1])
+    return np.split(ids, ends[:-1])
 
 
 def _power(k: np.ndarray) -> np.ndarray:

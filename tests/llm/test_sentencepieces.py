@@ -158,3 +158,27 @@ def test_occurrences_vary(spark):
     one = [tuple(r.ids) for r in sentencepieces.encode(docs, dropout=0.1).collect()]
     assert len({x[-60:] for x in one}) == 40  # the same words at the same places, in other texts
     assert [len(kinds(x)) for x in sentencepieces.encode_texts(MODEL, texts, salts, 0.0, 1)] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 0.9, 1.0])
+def test_shared_merges_are_those_of_each_occurrence(dropout, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = ["international", "the", "of", "undertaking", "漢字", "an" * 60, "x", "responsibilities"]
+    texts = [" ".join(rng.choice(words, 3000)) for _ in range(3)] + ["", "the", "x x x"]
+    salts, merged, plain = np.arange(len(texts), dtype=np.uint64), [], sentencepieces.merge_words
+    monkeypatch.setattr(sentencepieces, "merge_words", lambda model, symbols, *rest, **more: merged.append(len(symbols)) or plain(model, symbols, *rest, **more))
+    got = sentencepieces.encode_texts(MODEL, texts, salts, dropout, 4)
+    done = sum(merged)
+    monkeypatch.setattr(sentencepieces, "SHARED", 1 << 60)
+    want = sentencepieces.encode_texts(MODEL, texts, salts, dropout, 4)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want] and [spell(x) for x in got] == texts
+    if dropout == 0.1:  # words of up to 96 characters; each longer one has its own merges
+        assert done - sum(len(w) + 1 for t in texts for w in t.split() if len(w) > 96) < 0.2 * sum(len(w) + 1 for t in texts for w in t.split() if len(w) <= 96)
+
+
+def test_merges_by_hash():
+    rng = np.random.default_rng(1)
+    pairs = np.concatenate([MODEL.keys, rng.choice(MODEL.keys, 1000) + rng.integers(-3, 4, 1000), rng.integers(0, MODEL.size**2, 5000)])
+    which, at = MODEL.merge_of(pairs)
+    found = dict(zip(which.tolist(), zip(MODEL.rank[at].tolist(), MODEL.made[at].tolist())))
+    assert (MODEL.slots == -2).any() and found == {i: MODEL.merges[p] for i, p in enumerate(pairs.tolist()) if p in MODEL.merges}
