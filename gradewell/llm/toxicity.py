@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from .common import first_ids, texts_of
 
 BITS = 20
 LENGTHS = (3, 4, 5, 6)
-PART = 1 << 22  # characters of a text whose words are held at once
+PART = 1 << 20  # characters whose words are held at once: the arrays of their words take about 45 times as many bytes
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _ALNUM: list[np.ndarray] = []
@@ -107,7 +108,8 @@ class Model:
             hits.update(np.intersect1d(feats, self.ids).tolist())
             at = end
         weight = dict(zip(self.ids.tolist(), self.weights.tolist()))
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(weight[i] for i in sorted(hits)), -50, 50))))
+        g = sum((weight[i] for i in sorted(hits)), self.bias)  # added up as in ``scores``
+        return float(1 / (1 + np.exp(-np.clip(g, -50, 50))))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         table = np.zeros(1 << BITS, dtype=np.float32)
@@ -205,8 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, lab
 
     def run(batches):
         for batch in batches:
-            feats, low = _per_text([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, pa.list_(pa.int32())), pa.array(low[:, 0]), pa.array(low[:, 1])], names=["doc_id", "feats", "s1", "s2"])
+            for lo, texts in in_parts(batch.column(1)):
+                feats, low = _per_text(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(feats, pa.list_(pa.int32())), pa.array(low[:, 0]), pa.array(low[:, 1])], names=["doc_id", "feats", "s1", "s2"])
 
     got = text.mapInArrow(run, f"doc_id {kind.simpleString()}, feats array<int>, s1 long, s2 long").toArrow().sort_by([("doc_id", "ascending"), ("s1", "ascending"), ("s2", "ascending")])
     ids = got.column("doc_id").to_pylist()
@@ -223,6 +226,16 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, lab
     return fit_nnpu(rows(pos), rows(unl), toxic / n if n else 0.0)
 
 
+def in_parts(column: pa.Array):
+    """(first row, texts) of a column, a null as an empty text: runs of rows of at most ``PART`` bytes, or one row of more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART, side="right")))
+        yield lo, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
 def text_scores(model: Model, texts: list[str]) -> np.ndarray:
     """Scores of texts, about ``PART`` characters at a time."""
     out = np.zeros(len(texts))
@@ -239,13 +252,17 @@ def text_scores(model: Model, texts: list[str]) -> np.ndarray:
     return out
 
 
+def column_scores(model: Model, column: pa.Array) -> pa.Array:
+    """Scores of a column of texts, of which a part at a time is in Python's own strings."""
+    return pa.array(np.concatenate([np.zeros(0), *(text_scores(model, texts) for _, texts in in_parts(column))]))
+
+
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
     """The rows of ``docs`` with all their columns and the score of each."""
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            yield batch.append_column(name, pa.array(text_scores(model, texts)))
+            yield batch.append_column(name, column_scores(model, batch.column(text_col)))
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, schema)
@@ -260,8 +277,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_scores(model, texts))], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), column_scores(model, batch.column(1))], names=[id_col, "score"])
 
     slim = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, score double")

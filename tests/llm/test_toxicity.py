@@ -2,9 +2,11 @@
 
 import os
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -124,6 +126,33 @@ def test_very_long_texts_in_parts(monkeypatch):
     assert np.allclose(toxicity.text_scores(model, ["", text, "w7"]), [model.scores([""])[0], whole, model.scores(["w7"])[0]])
 
 
+def test_memory_of_large_batches_is_bounded():
+    model = toxicity.Model(np.array([1, 2, 3]), np.ones(3), -0.5)
+    texts = ["some plain words of a text " * 800] * 500  # 11 million characters
+    tracemalloc.start()
+    toxicity.text_scores(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+def test_parts_of_a_column_are_all_its_rows(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{x}é" for x in range(300)]
+    rows = [None if n == 7 else " ".join(rng.choice(words, n)) for n in rng.integers(0, 60, 400)] + ["", None, " ".join(rng.choice(words, 900))]
+    features = np.unique(toxicity.words_of([" ".join(words)])[1])
+    model = toxicity.Model(features, rng.normal(size=len(features)) / 9, -0.5)
+    whole = model.scores([t or "" for t in rows])
+    monkeypatch.setattr(toxicity, "PART", 1000)
+    parts = list(toxicity.in_parts(pa.array(["left out", *rows])[1:]))
+    assert [t for _, p in parts for t in p] == [t or "" for t in rows] and len(parts) > 40
+    assert [lo for lo, _ in parts] == np.cumsum([0, *(len(p) for _, p in parts)])[:-1].tolist()
+    assert all(len(p) == 1 or sum(len(t.encode()) for t in p) <= 1000 for _, p in parts)
+    for kind in (pa.string(), pa.large_string()):
+        assert np.array_equal(toxicity.column_scores(model, pa.array(rows, kind)), whole)
+        assert len(toxicity.column_scores(model, pa.array([], kind))) == 0
+
+
 def slow_fit(pos, unl, prior, steps, features):
     """The same descent one text at a time: logistic losses, and the climb where the corrected risk turns negative."""
     at = {f: k for k, f in enumerate(features)}
